@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"[\s\x{00a0}]+"
 
@@ -37,7 +38,7 @@ def fold_key(c: Column) -> Column:
     return F.regexp_replace(_umlauts(F.lower(c)), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     return s.map(
         lambda v: None

@@ -146,7 +146,7 @@ def listing_versions(
         hist.df.withColumn("lat", F.col("_geo.p.lat"))
         .withColumn("lng", F.col("_geo.p.lng"))
         .drop("_geo")
-        .withColumn("geo_text", F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string")))
+        .withColumn("geo_text", F.concat(F.col("lat").cast("string"), F.lit(","), F.col("lng").cast("string")))
         .withColumn("attr_text", canonical_json(F.col("attributes")))
         .withColumn("image_urls", _image_urls())
     )
