@@ -100,7 +100,7 @@ def notification_history(notifications: DataFrame, subscriptions: DataFrame, lis
     if not 1 <= n <= 200:
         raise ValueError("n must be between 1 and 200")
     mine = notifications.join(subscriptions.select("subscription_id", "user_id"), "subscription_id")
-    top = top_per_group(mine, "user_id", [F.desc("created_at"), F.asc("notification_id")], n)
+    top = top_per_group(mine, "user_id", [F.desc("created_at"), F.asc("notification_id"), F.asc("listing_id")], n)
     return top.join(listings, "listing_id", "left")
 
 

@@ -133,7 +133,7 @@ CTES = {
     "x.state IS NULL OR e.event = 'changed' OR x.state = 'pending' AS triggers FROM events_now e LEFT JOIN past_matches x USING (profile_id, listing_id)",
     "notify_events": "SELECT r.*, p.user_id FROM recorded r JOIN profiles p USING (profile_id) WHERE r.triggers AND p.notify",
     "eligible": "SELECT * FROM notify_events WHERE CASE WHEN event = 'changed' THEN state <> 'dismissed' ELSE state = 'pending' END",
-    "per_user": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, listing_id ORDER BY at, profile_id) AS un FROM eligible) WHERE un = 1",
+    "per_user": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, listing_id ORDER BY e1.at, profile_id) AS un FROM eligible e1) WHERE un = 1",
     "fanned": "SELECT u.*, s.subscription_id, s.chat_id FROM per_user u JOIN subs s ON s.user_id = u.user_id AND s.enabled",
     "runs": "SELECT event_id AS run_id, concat('src', cast(user_id % 8 as varchar)) AS source_slug, "
     "CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'partial' ELSE 'success' END AS status, "
