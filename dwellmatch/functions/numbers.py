@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dwellmatch.functions.text import regex_first
+from dwellmatch.functions.text import let, regex_first
 from dwellmatch.schema import RANGES
 
 _GROUPED = r"^\d{1,3}(?:\.\d{3})+$"
@@ -15,54 +15,65 @@ def _num(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def _decimal_comma(c: Column) -> Column:
-    """Dots are grouping, the first comma is the decimal point."""
-    bare = F.replace(c, F.lit("."), F.lit(""))
-    at = F.instr(bare, ",")
-    return F.concat(F.substring(bare, F.lit(1), at - 1), F.lit("."), F.substring(bare, at + 1, F.length(bare)))
-
-
 def _no_dots(c: Column) -> Column:
     return F.replace(c, F.lit("."), F.lit(""))
 
 
+def _comma_to_dot(c: Column) -> Column:
+    """The first comma becomes a dot."""
+    return F.regexp_replace(c, "^([^,]*),", "$1.")
+
+
+def _decimal_comma(c: Column) -> Column:
+    """Dots are grouping, the first comma is the decimal point."""
+    return _comma_to_dot(_no_dots(c))
+
+
 def first_number(c: Column) -> Column:
     """First numeral; comma decimal, groups of three after dots are grouping."""
-    raw = regex_first(c, r"(\d[\d.,]*)")
-    return _num(
-        F.when(raw.contains(","), _decimal_comma(raw)).when(raw.rlike(_GROUPED), _no_dots(raw)).otherwise(raw)
+    return let(
+        regex_first(c, r"(\d[\d.,]*)"),
+        lambda raw: _num(
+            F.when(raw.contains(","), _decimal_comma(raw)).when(raw.rlike(_GROUPED), _no_dots(raw)).otherwise(raw)
+        ),
     )
 
 
 def spaced_number(c: Column) -> Column:
     """First numeral with inner spaces; several dots are grouping, one dot is decimal."""
-    raw = F.regexp_replace(regex_first(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"(\d[\d\s.,]*)"), r"\s+", "")
-    dots = F.length(raw) - F.length(_no_dots(raw))
-    return _num(F.when(raw.contains(","), _decimal_comma(raw)).when(dots > 1, _no_dots(raw)).otherwise(raw))
+    spaced = F.replace(c, F.lit("\u00a0"), F.lit(" "))
+    return let(
+        F.regexp_replace(regex_first(spaced, r"(\d[\d\s.,]*)"), r"\s+", ""),
+        lambda raw: _num(
+            F.when(raw.contains(","), _decimal_comma(raw)).when(raw.rlike(r"\..*\."), _no_dots(raw)).otherwise(raw)
+        ),
+    )
 
 
 def stripped_number(c: Column) -> Column:
     """All characters but digits, comma, dot, minus dropped; longest numeric prefix counts."""
-    raw = F.regexp_replace(c, r"[^\d,.\-]", "")
-    text = F.when(raw.contains(","), _decimal_comma(raw)).when(raw.rlike(_GROUPED), _no_dots(raw)).otherwise(raw)
-    return F.when(raw.rlike(r"\d"), _num(regex_first(text, r"^(-?(?:\d+\.?\d*|\.\d+))")))
+    prefix = r"^(-?(?:\d+\.?\d*|\.\d+))"
+    return let(
+        F.regexp_replace(c, r"[^\d,.\-]", ""),
+        lambda raw: _num(
+            regex_first(
+                F.when(raw.contains(","), _decimal_comma(raw)).when(raw.rlike(_GROUPED), _no_dots(raw)).otherwise(raw),
+                prefix,
+            )
+        ),
+    )
 
 
 def naive_number(c: Column) -> Column:
     """Digits, dots and commas kept, first comma becomes a dot, zero is null."""
-    raw = F.regexp_replace(c, "[^0-9.,]", "")
-    at = F.instr(raw, ",")
-    text = F.when(
-        at > 0,
-        F.concat(F.substring(raw, F.lit(1), at - 1), F.lit("."), F.substring(raw, at + 1, F.length(raw))),
-    ).otherwise(raw)
-    return F.nullif(_num(regex_first(text, r"^((?:\d+\.?\d*|\.\d+))")), F.lit(0.0))
+    kept = _comma_to_dot(F.regexp_replace(c, "[^0-9.,]", ""))
+    return F.nullif(_num(regex_first(kept, r"^((?:\d+\.?\d*|\.\d+))")), F.lit(0.0))
 
 
 def in_range(c: Column, column: str) -> Column:
     """Value when inside the accepted range of the column, else null."""
     lo, hi = RANGES[column]
-    return F.when(c.between(lo, hi), c)
+    return let(c, lambda v: F.when(v.between(lo, hi), v))
 
 
 def at_least(c: Column, floor: float = 50.0) -> Column:

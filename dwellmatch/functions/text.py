@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,16 @@ from pyspark.sql import types as T
 WS = r"[\s\x{00a0}]+"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once.
+
+    Column expressions have no local names: a value used several times would be repeated
+    in the plan, and nested uses multiply until no generated method can hold them. A
+    one-element array binds it to a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Squeeze whitespace (no-break spaces included); blank becomes null."""
     return F.nullif(F.trim(F.regexp_replace(c.cast("string"), WS, " ")), F.lit(""))
@@ -68,7 +79,7 @@ def text_or_null(c: Column) -> Column:
 
 def regex_first(c: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, null where nothing matches."""
-    return text_or_null(F.regexp_extract(c, pattern, group))
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), group), F.lit(0))
 
 
 def postal_code(c: Column) -> Column:

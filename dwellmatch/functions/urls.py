@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dwellmatch.functions.text import regex_first, text_or_null
+from dwellmatch.functions.text import let, regex_first
 
 # Query parameters that only track the visitor (with the utm_ prefix).
 TRACKING_PARAMS = ["utm", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid"]
@@ -15,7 +15,10 @@ def resolve_url(c: Column, base: str) -> Column:
     """Absolute URL of a link found under ``base`` (scheme and host only)."""
     root = base.rstrip("/")
     scheme = root.split(":", 1)[0]
-    t = F.trim(c)
+    return let(F.trim(c), lambda t: _resolved(t, root, scheme))
+
+
+def _resolved(t: Column, root: str, scheme: str) -> Column:
     return (
         F.when(F.length(t) == 0, F.lit(None).cast("string"))
         .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), t)
@@ -43,24 +46,27 @@ def _query(c: Column) -> Column:
 
 def canonical_url(c: Column, force_https: bool = True, strip_query: bool = False) -> Column:
     """Lower-case host, no fragment, no tracking parameters, no trailing slash; http(s) only."""
-    scheme = F.lower(regex_first(c, r"^([A-Za-z][A-Za-z0-9+.\-]*)://"))
-    host = url_host(c)
-    path = F.regexp_replace(F.coalesce(url_path(c), F.lit("")), "/+$", "")
+    return let(c, lambda u: _canonical(u, force_https, strip_query))
+
+
+def _canonical(u: Column, force_https: bool, strip_query: bool) -> Column:
+    scheme = F.lower(regex_first(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://"))
+    path = F.regexp_replace(F.coalesce(url_path(u), F.lit("")), "/+$", "")
     name = lambda p: F.lower(F.get(F.split(p, "="), F.lit(0)))
     kept = F.filter(
-        F.split(_query(c), "&"),
+        F.split(_query(u), "&"),
         lambda p: ~name(p).startswith("utm_") & ~name(p).isin(TRACKING_PARAMS) & (F.length(p) > 0),
     )
-    query = F.lit(None).cast("string") if strip_query else text_or_null(F.array_join(kept, "&"))
+    query = F.lit("") if strip_query else F.array_join(kept, "&")
     out = F.concat(
         F.lit("https") if force_https else scheme,
         F.lit("://"),
-        host,
-        F.coalesce(_port(c), F.lit("")),
+        url_host(u),
+        F.coalesce(_port(u), F.lit("")),
         path,
-        F.coalesce(F.concat(F.lit("?"), query), F.lit("")),
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
-    return F.when(scheme.isin("http", "https") & host.isNotNull(), out)
+    return F.when(scheme.isin("http", "https"), out)
 
 
 def same_origin(c: Column, base: str) -> Column:
@@ -96,13 +102,17 @@ ID_PATTERNS = {
 
 def external_id(c: Column, shape: str) -> Column:
     """Id inside a detail URL; the numeric-html shape falls back to the last path segment."""
-    found = [regex_first(c, p) for p in ID_PATTERNS[shape]]
+    return let(c, lambda u: _external_id(u, shape))
+
+
+def _external_id(u: Column, shape: str) -> Column:
+    found = [regex_first(u, p) for p in ID_PATTERNS[shape]]
     if shape == "numeric_html":
-        segments = F.filter(F.split(F.coalesce(url_path(c), F.lit("")), "/"), lambda s: s != "")
-        found.append(F.regexp_replace(F.element_at(segments, -1), r"(?i)\.html$", ""))
+        segments = F.filter(F.split(F.coalesce(url_path(u), F.lit("")), "/"), lambda s: s != "")
+        found.append(F.regexp_replace(F.try_element_at(segments, F.lit(-1)), r"(?i)\.html$", ""))
     picked = F.coalesce(*found)
     if shape in ("expose", "detail"):
-        picked = F.trim(F.coalesce(F.try_url_decode(picked), picked))
+        return let(picked, lambda p: F.trim(F.coalesce(F.try_url_decode(p), p)))
     return picked
 
 

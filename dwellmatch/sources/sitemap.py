@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dwellmatch.functions.text import let
 from dwellmatch.functions.urls import canonical_url, external_id, is_rent_search_url, resolve_url, same_origin, url_path
 from dwellmatch.operators.skew import latest_per_key
 
@@ -68,7 +69,7 @@ def not_older(lastmod: Column, since: Column | None) -> Column:
 def detail_url(link: Column, base: str, shape: str = "expose") -> Column:
     """Canonical detail URL of a same-origin link with an id in it, else null."""
     url = canonical_url(resolve_url(link, base), strip_query=True)
-    return F.when(same_origin(url, base) & external_id(url, shape).isNotNull(), url)
+    return let(url, lambda u: F.when(same_origin(u, base) & external_id(u, shape).isNotNull(), u))
 
 
 def page_links(parsed: DataFrame, base: str, shape: str = "expose") -> DataFrame:
