@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dwellmatch.functions.text import let, regex_first
+from dwellmatch.functions.text import ascii_edges, let, regex_first
 from dwellmatch.schema import RANGES
 
 _GROUPED = r"^\d{1,3}(?:\.\d{3})+$"
@@ -119,6 +119,6 @@ def price_from_text(c: Column) -> Column:
 def rooms_or_shared(c: Column, kind: Column) -> Column:
     """Room count of a text; a shared-flat room without one counts as one room."""
     found = in_range(
-        stripped_number(regex_first(c, r"(?iu)(\d+(?:[,.]\d+)?)\s*(?:zimmer(?:n)?|zi\.?|rooms?)\b")), "rooms"
+        stripped_number(regex_first(c, ascii_edges(r"(?iu)(\d+(?:[,.]\d+)?)\s*(?:zimmer(?:n)?|zi\.?|rooms?)\b"))), "rooms"
     )
     return F.coalesce(found, F.when(kind == "wg_room", F.lit(1.0)))

@@ -13,6 +13,15 @@ from pyspark.sql import types as T
 WS = r"[\s\x{00a0}]+"
 
 
+# Java's \b sees accented letters as word characters; the sources' patterns do not.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """Pattern with word boundaries between ASCII word characters and all others."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value computed once.
 
@@ -70,7 +79,7 @@ def normalize_identity(c: Column, ascii_only: bool = False) -> Column:
 
 def has_word(c: Column, words: list[str]) -> Column:
     """Any of the words with ASCII boundaries, case-insensitive."""
-    return F.coalesce(c, F.lit("")).rlike(r"(?iu)\b(" + "|".join(words) + r")\b")
+    return F.coalesce(c, F.lit("")).rlike(ascii_edges(r"(?iu)\b(" + "|".join(words) + r")\b"))
 
 
 def text_or_null(c: Column) -> Column:
@@ -83,23 +92,23 @@ def regex_first(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def postal_code(c: Column) -> Column:
-    return regex_first(c, r"\b(\d{5})\b")
+    return regex_first(c, ascii_edges(r"\b(\d{5})\b"))
 
 
 def city_after_postal(c: Column) -> Column:
-    return text_or_null(F.trim(regex_first(c, r"\b\d{5}\s+([^,]+)")))
+    return text_or_null(F.trim(regex_first(c, ascii_edges(r"\b\d{5}\s+([^,]+)"))))
 
 
 def split_address(c: Column) -> Column:
     """Lines 'street / 12345 city, district' into struct(street, postal_code, city, district, address)."""
     lines = F.filter(F.transform(F.split(c, r"\n+"), clean_text), lambda x: x.isNotNull())
-    is_postal = lambda x: x.rlike(r"\b\d{5}\b")
+    is_postal = lambda x: x.rlike(ascii_edges(r"\b\d{5}\b"))
     flags = F.transform(lines, is_postal)
     at = F.array_position(flags, True)
     line = F.when(at > 0, F.element_at(lines, at.cast("int")))
     street = F.when(at > 1, F.element_at(lines, (at - 1).cast("int")))
     zip_ = postal_code(line)
-    rest = F.trim(F.regexp_replace(line, r"^.*?\b\d{5}\b\s*", ""))
+    rest = F.trim(F.regexp_replace(line, ascii_edges(r"^.*?\b\d{5}\b\s*"), ""))
     parts = F.split(rest, r"\s*,\s*")
     city = clean_text(F.get(parts, F.lit(0)))
     district = clean_text(F.get(parts, F.lit(1)))
@@ -148,7 +157,7 @@ def rental_type(c: Column) -> Column:
     # The words of each kind.
     sublet = t.rlike("(?iu)zwischenmiete|untermiete|befristet|sublet")
     shared = t.rlike(r"(?iu)wg-zimmer|wohngemeinschaft|zimmer\s+in\s+(?:einer\s+)?wg") | t.rlike(
-        r"(?iu)\bwg\b(?!-gesucht)"
+        ascii_edges(r"(?iu)\bwg\b(?!-gesucht)")
     )
     flat = t.rlike("(?iu)wohnung|wohnungen|apartment|appartement")
     return F.when(sublet, "sublet").when(shared, "wg_room").when(flat, "apartment").otherwise("unknown")
