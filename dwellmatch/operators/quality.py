@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellmatch.functions.redact import canonical_json_text
+from dwellmatch.functions.text import normalize_identity
 from dwellmatch.functions.urls import looks_like_url
 from dwellmatch.schema import BBOX, DEAL_TYPES, RANGES, STATES
 
@@ -150,20 +151,21 @@ def split_gate(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
 def quarantine_rows(rejected: DataFrame) -> DataFrame:
     """Rejected rows in stored shape: flag and issues in the attributes, synthetic id and
     URL where missing, no geo, no images. A row without an id is known by its raw text."""
-    raw_key = F.substring(canonical_json_text(F.col("raw")), 1, 200)
-    basis = F.when(F.length(F.trim("external_id")) > 0, F.col("external_id")).otherwise(raw_key)
-    print_ = F.sha2(F.lower(F.concat_ws("|", "source_slug", basis)), 256)
+    raw = canonical_json_text(F.col("raw")) if "raw" in rejected.columns else F.lit("null")
+    basis = F.when(F.length(F.trim("external_id")) > 0, F.col("external_id")).otherwise(F.substring(raw, 1, 200))
+    key = F.sha2(normalize_identity(F.concat_ws("|", "source_slug", basis)), 256)
     extra = F.create_map(
         F.lit("_quarantine"), F.lit("true"), F.lit("_quality_issues"), F.to_json("issues")
     )
     return (
-        rejected.withColumn("external_id", F.coalesce("external_id", print_))
-        .withColumn("url", F.coalesce("url", F.concat(F.lit("https://quarantine.local/"), "source_slug", F.lit("/"), print_)))
+        rejected.withColumn("_key", key)
+        .withColumn("external_id", F.coalesce(F.nullif("external_id", F.lit("")), "_key"))
+        .withColumn("url", F.coalesce("url", F.concat(F.lit("https://quarantine.local/"), "source_slug", F.lit("/"), "_key")))
         .withColumn("attributes", F.map_concat("attributes", extra))
         .withColumn("lat", F.lit(None).cast("double"))
         .withColumn("lng", F.lit(None).cast("double"))
         .withColumn("images", F.expr(NO_IMAGES))
-        .drop("ok", "issues")
+        .drop("ok", "issues", "_key")
     )
 
 
@@ -171,7 +173,7 @@ def gated_rows(gated: DataFrame) -> DataFrame:
     """Valid and quarantined rows as one frame with a ``quarantined`` flag.
 
     Same result as ``split_gate`` + ``quarantine_rows`` + union, without reading twice;
-    for rows that carry an external id (no raw-text key is needed).
+    for rows that carry an external id. ``stored_rows`` also takes rows without one.
     """
     bad = ~F.col("ok")
     extra = F.create_map(F.lit("_quarantine"), F.lit("true"), F.lit("_quality_issues"), F.to_json("issues"))
@@ -186,6 +188,17 @@ def gated_rows(gated: DataFrame) -> DataFrame:
     )
 
 
+def stored_rows(gated: DataFrame) -> DataFrame:
+    """``gated_rows`` for feeds in which the external id may be missing.
+
+    Only the nameless rows pass through the raw-text key.
+    """
+    nameless = F.length(F.coalesce("external_id", F.lit(""))) == 0
+    named = gated_rows(gated.filter(~nameless))
+    rest = quarantine_rows(gated.filter(nameless)).withColumn("quarantined", F.lit(True))
+    return named.unionByName(rest, allowMissingColumns=True)
+
+
 def issue_counts(gated: DataFrame) -> DataFrame:
     return gated.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
