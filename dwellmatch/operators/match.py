@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from dwellmatch.functions.geo import circle_cells, grid_cell, haversine_km
 from dwellmatch.functions.keys import json_number, json_string
 from dwellmatch.functions.numbers import js_num
-from dwellmatch.operators.skew import salted_join
 from dwellmatch.schema import BOOLEAN_ATTRIBUTES, MATCHABLE_STATUSES
 from dwellmatch.sources.registry import bind_definitions
 
@@ -216,32 +215,30 @@ def match_columns(listings: DataFrame) -> DataFrame:
     return listings.select(*[c for c in wanted if c in listings.columns]).withColumns(masks)
 
 
-def listing_keys(listings: DataFrame, rules: DataFrame, slices: int = 1) -> DataFrame:
-    """Listings repeated once per key kind that some profile uses, each in one slice."""
-    row = lambda path, key: F.when(
-        key.isNotNull(), F.struct(F.lit(path).alias("path"), key.cast("string").alias("key"))
-    )
+def listing_keys(listings: DataFrame, used: set[str], slices: int = 1) -> DataFrame:
+    """Listings repeated once per key kind in ``used``, each in one slice."""
     cell = F.when(
         F.col("lat").isNotNull() & F.col("lng").isNotNull(),
         F.concat_ws("|", grid_cell(F.col("lat"), CELL_DEGREES), grid_cell(F.col("lng"), CELL_DEGREES)),
     )
-    keys = [row(n, F.col(n)) for n in PLACE_COLUMNS]
-    keys.append(row("circle", cell))
+    keys = [(n, F.col(n)) for n in PLACE_COLUMNS]
+    keys.append(("circle", cell))
     for name, (bucket, top) in _RANGE_PATHS.items():
-        keys.append(row(name, bucket(F.least(F.col(name), F.lit(top)))))
+        keys.append((name, F.when(F.col(name).isNotNull(), bucket(F.least(F.col(name), F.lit(top))).cast("string"))))
     for i, name in enumerate(BOOLEAN_ATTRIBUTES):
         for word in ("true", "false"):
-            keys.append(row("flag", F.when(F.col(f"is_{word}").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f"{name}={word}"))))
-    keys.append(row("any", F.pmod(F.xxhash64("listing_id"), F.lit(SPREAD))))
-    # At most one row per path name, eleven in all.
-    used = F.broadcast(rules.select("path").distinct())
+            has = F.col(f"is_{word}").bitwiseAND(F.lit(1 << i)) != 0
+            keys.append(("flag", F.when(has, F.lit(f"{name}={word}"))))
+    keys.append(("any", F.pmod(F.xxhash64("listing_id"), F.lit(SPREAD)).cast("string")))
+    # No array_compact here: its lambda would keep the explode out of generated code.
+    rows = [F.struct(F.lit(path).alias("path"), key.alias("key")) for path, key in keys if path in used]
     return (
-        listings.withColumn("_k", F.explode(F.array_compact(F.array(*keys))))
+        listings.withColumn("_k", F.explode(F.array(*rows)))
         .withColumn("path", F.col("_k.path"))
         .withColumn("key", F.col("_k.key"))
-        .withColumn("slice", F.pmod(F.xxhash64("listing_id"), F.lit(slices)).cast("int"))
         .drop("_k")
-        .join(used, "path", "left_semi")
+        .filter(F.col("key").isNotNull())
+        .withColumn("slice", F.pmod(F.xxhash64("listing_id"), F.lit(slices)).cast("int"))
     )
 
 
@@ -294,6 +291,11 @@ def residual(with_extra: bool = True) -> Column:
     return cond
 
 
+def default_slices(df: DataFrame) -> int:
+    """Slices per key: grows with the configured shuffle partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def inverse_match(
     listings: DataFrame,
     profiles: DataFrame,
@@ -311,26 +313,32 @@ def inverse_match(
     """
     if "status" in listings.columns:
         listings = listings.filter(F.col("status").isin(MATCHABLE_STATUSES))
-    if slices is None:
-        slices = max(1, int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    slices = default_slices(listings) if slices is None else slices
     rules = profile_keys(rule_rows(profiles, filters, definitions), slices)
     fields = match_columns(listings)
     odd = "extra is not null or more_circles is not null"
-    plain = rules.filter(f"not ({odd})").drop("extra", "more_circles")
+    # Key kinds in use, at most eleven names for either group of rules.
+    kinds = rules.select("path", F.expr(odd).alias("odd")).distinct().collect()
     keys = ["path", "key", "slice"]
 
-    def join(part: DataFrame, with_extra: bool) -> DataFrame:
+    def join(part: DataFrame, used: set[str], with_extra: bool) -> DataFrame:
         right = part.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in part.columns])
         same = residual(with_extra)
         for k in keys:
             same = same & (F.col(k) == F.col(f"_r_{k}"))
-        return listing_keys(fields, part, slices).join(right, same).select("profile_id", "listing_id")
+        return listing_keys(fields, used, slices).join(right, same).select("profile_id", "listing_id")
 
     # Free-form conditions need array lambdas, which would keep the whole join out of
     # generated code; the rare profiles that have them are joined apart.
-    rest = rules.filter(odd)
-    matched = join(plain, False)
-    return matched if rest.isEmpty() else matched.unionByName(join(rest, True))
+    parts = []
+    for is_odd in (False, True):
+        used = {r["path"] for r in kinds if r["odd"] == is_odd}
+        if used:
+            some = rules.filter(odd if is_odd else f"not ({odd})")
+            parts.append(join(some if is_odd else some.drop("extra", "more_circles"), used, is_odd))
+    if not parts:
+        return rules.select("profile_id", F.lit("").alias("listing_id")).limit(0)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def filter_passes(f: Column | None = None) -> Column:
@@ -375,25 +383,26 @@ def pass_counts(listings: DataFrame, filters: DataFrame, definitions: DataFrame)
     cols = match_columns(listings)
     key = ["key", "operator", "value_json"]
 
-    fields = [
-        F.struct(F.lit(f"column:{n}").alias("field"), json_string(F.col(n)).alias("have"))
-        for n in TEXT_COLUMNS
-        if n in cols.columns
-    ]
-    fields += [
-        F.struct(F.lit(f"column:{n}").alias("field"), json_number(F.col(n)).alias("have")) for n in NUMBER_COLUMNS
-    ]
-    attrs = F.transform(
-        F.map_entries("attributes"),
-        lambda e: F.struct(F.concat(F.lit("attribute:"), e["key"]).alias("field"), e["value"].alias("have")),
-    )
     bound = F.coalesce(F.concat(F.lit("column:"), "bound_column"), F.concat(F.lit("attribute:"), "bound_attribute"))
     scalar = rules.filter("not is_circle").withColumn("field", bound)
-    used = scalar.select("field").distinct()
+    # Field names in use: no more than there are definitions.
+    used = [r["field"] for r in scalar.select("field").distinct().collect()]
+    cells = []
+    for field in used:
+        kind, name = field.split(":", 1)
+        if kind == "attribute":
+            have = F.element_at("attributes", F.lit(name))
+        elif name in NUMBER_COLUMNS:
+            have = json_number(F.col(name))
+        elif name in TEXT_COLUMNS and name in cols.columns:
+            have = json_string(F.col(name))
+        else:
+            continue
+        cells.append(F.struct(F.lit(field).alias("field"), have.alias("have")))
+    empty = F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("have"))
     counts = (
-        cols.select(F.inline(F.concat(F.array(*fields), attrs)))
+        cols.select(F.inline(F.array(*(cells or [empty]))))
         .filter(F.col("have").isNotNull())
-        .join(used, "field", "left_semi")
         .groupBy("field", "have")
         .agg(F.count("*").alias("n"))
     )
@@ -446,21 +455,28 @@ def failure_counts(
     return counted.groupBy("key").agg(F.sum(failing).alias("failures"))
 
 
-def radius_join(points: DataFrame, circles: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def radius_join(points: DataFrame, circles: DataFrame, cell: float = CELL_DEGREES, slices: int | None = None) -> DataFrame:
     """All (point, circle) pairs within the radius, with the distance.
 
     ``points``: point_id, lat, lng. ``circles``: circle_id, c_lat, c_lng, radius_km.
     Meets on grid cells; a circle lists each cell once, a point has one cell, so no
-    pair appears twice.
+    pair appears twice. Points of a crowded cell spread over the slices.
     """
-    p = points.filter("lat is not null and lng is not null")
-    p = p.withColumn("_i", grid_cell(F.col("lat"), cell)).withColumn("_j", grid_cell(F.col("lng"), cell))
-    c = circles.select("*", F.inline(circle_cells(F.col("c_lat"), F.col("c_lng"), F.col("radius_km"), cell)).alias("_i", "_j"))
-    near = salted_join(p, c, ["_i", "_j"], ["point_id"])
+    slices = default_slices(points) if slices is None else slices
+    p = (
+        points.filter("lat is not null and lng is not null")
+        .withColumn("_i", grid_cell(F.col("lat"), cell))
+        .withColumn("_j", grid_cell(F.col("lng"), cell))
+        .withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(slices)).cast("int"))
+    )
+    c = circles.select(
+        "*", F.inline(circle_cells(F.col("c_lat"), F.col("c_lng"), F.col("radius_km"), cell)).alias("_i", "_j")
+    ).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return (
-        near.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
+        p.join(c, ["_i", "_j", "_s"])
+        .withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
         .filter(F.col("km") <= F.col("radius_km"))
-        .drop("_i", "_j")
+        .drop("_i", "_j", "_s")
     )
 
 

@@ -325,11 +325,8 @@ def _structured_pages(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT {_ADID} AS external_id, concat('https://portal.example/expose/', {_ADID}) AS url, title, price, area, rooms, city, postal_code, n_images AS images, '\"Muster Immobilien-Nord\"' AS origin FROM live",
 )
 def structured_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = _structured_pages(spark, d)
-    # A page id can occur once per source; parse with the source in the id.
-    rows = rows.withColumn("page_id", F.xxhash64("page_id", "source_slug"))
-    objects = jsonld.with_objects(rows).select("page_id", "objects")
-    parsed = pages.parse_pages(rows).join(objects, "page_id")
+    rows = jsonld.with_objects(_structured_pages(spark, d))
+    parsed = pages.parse_pages(rows, keep=("objects",))
     out = mapping.to_canonical(details.aggregator_rows(parsed, BASE), "aggregator")
     return out.select(
         "external_id", "url", "title", "price", "area", "rooms", "city", "postal_code", F.size("images").alias("images"),
@@ -401,7 +398,7 @@ def landlord_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = fr.live(spark, d).withColumn("html", html).select(
         F.xxhash64("listing_id").alias("page_id"), F.lit(f"{BASE}/x").alias("url"), "html"
     )
-    parsed = pages.parse_pages(rows).join(rows.select("page_id", "html"), "page_id")
+    parsed = pages.parse_pages(rows, keep=("html",))
     out = mapping.to_canonical(details.landlord_rows(parsed, BASE), "landlord")
     return out.select(
         "external_id", "price", "warm_rent", "area", "rooms", "city", "postal_code", F.element_at("attributes", F.lit("availability")).alias("availability")
@@ -446,7 +443,7 @@ def exchange_details(spark: SparkSession, d: str) -> DataFrame:
         F.xxhash64("listing_id").alias("page_id"), F.concat(F.lit(f"{BASE}/immodetail/"), number, F.lit("/?x=1")).alias("url"), "html", _adid().alias("_adid")
     )
     found = details.exchange_details(pages.parse_pages(rows), BASE).join(rows.select("page_id", "_adid"), "page_id")
-    out = mapping.to_canonical(found.filter("adid is not null").withColumn("adid", F.col("_adid")), "exchange")
+    out = mapping.to_canonical(details.usable(found, ["adid"]).withColumn("adid", F.col("_adid")), "exchange")
     return out.select("external_id", "price", "area", "rooms", "warm_rent", "title", canonical_json(F.col("attributes")).alias("attributes"))
 
 

@@ -21,14 +21,12 @@ _INSIDE = haversine("l.lat", "l.lng", "w.f_lat", "w.f_lng")
 
 
 def matches_per_profile(spark: SparkSession, d: str) -> DataFrame:
-    return fr.matched(spark, d).groupBy("profile_id").agg(
-        F.count("*").alias("matches"), F.min("listing_id").alias("first_listing")
-    )
+    return fr.matched(spark, d).groupBy("profile_id").agg(F.count("*").alias("matches"))
 
 
 query(
     "f4_matches_per_profile",
-    "SELECT profile_id, count(*) AS matches, min(listing_id) AS first_listing FROM matched GROUP BY profile_id",
+    "SELECT profile_id, count(*) AS matches FROM matched GROUP BY profile_id",
 )(matches_per_profile)
 
 
