@@ -27,7 +27,7 @@ def test_search_prunes_and_pushes(spark, listings):
     out = serve.search_listings(spark.read.parquet(listings), "NATION_3", price_max=900, limit=20).select("listing_id", "price", "first_seen_at")
     p = plan(out)
     assert "TakeOrderedAndProject" in p
-    pushed = re.search(r"PushedFilters: \[(.*?)\]", p).group(1)
+    pushed = re.search(r"PushedFilters: (.*?), ReadSchema", p).group(1)
     assert "EqualTo(city,NATION_3)" in pushed and "LessThanOrEqual(price,900" in pushed
     schema = re.search(r"ReadSchema: struct<(.*?)>", p).group(1)
     assert "attributes" not in schema and "title" not in schema
