@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from dwellmatch.functions.geo import circle_cells, grid_cell, haversine_km
 from dwellmatch.functions.keys import json_number, json_string
 from dwellmatch.functions.numbers import js_num
+from dwellmatch.operators.skew import default_slices, sliced_join
 from dwellmatch.schema import BOOLEAN_ATTRIBUTES, MATCHABLE_STATUSES
 from dwellmatch.sources.registry import bind_definitions
 
@@ -291,11 +292,6 @@ def residual(with_extra: bool = True) -> Column:
     return cond
 
 
-def default_slices(df: DataFrame) -> int:
-    """Slices per key: grows with the configured shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-
-
 def inverse_match(
     listings: DataFrame,
     profiles: DataFrame,
@@ -462,21 +458,19 @@ def radius_join(points: DataFrame, circles: DataFrame, cell: float = CELL_DEGREE
     Meets on grid cells; a circle lists each cell once, a point has one cell, so no
     pair appears twice. Points of a crowded cell spread over the slices.
     """
-    slices = default_slices(points) if slices is None else slices
     p = (
         points.filter("lat is not null and lng is not null")
         .withColumn("_i", grid_cell(F.col("lat"), cell))
         .withColumn("_j", grid_cell(F.col("lng"), cell))
-        .withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(slices)).cast("int"))
     )
     c = circles.select(
         "*", F.inline(circle_cells(F.col("c_lat"), F.col("c_lng"), F.col("radius_km"), cell)).alias("_i", "_j")
-    ).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    )
     return (
-        p.join(c, ["_i", "_j", "_s"])
+        sliced_join(p, c, ["_i", "_j"], ["point_id"], slices)
         .withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
         .filter(F.col("km") <= F.col("radius_km"))
-        .drop("_i", "_j", "_s")
+        .drop("_i", "_j")
     )
 
 

@@ -38,45 +38,26 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = SHARE, min_rows: i
     }
 
 
-def _slices(df: DataFrame, hot: dict[int, int], keys: Sequence[str]) -> Column:
-    lookup = F.create_map(*[F.lit(v) for kv in hot.items() for v in kv])
-    return F.element_at(lookup, F.xxhash64(*[df[k] for k in keys]))
-
-
-def salted_join(
-    big: DataFrame,
-    other: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    condition: Column | None = None,
-    share: int = SHARE,
-    min_rows: int = MIN_ROWS,
+def default_slices(df: DataFrame) -> int:
+    """Slices per key: grows with the configured shuffle partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def sliced_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str], slices: int | None = None
 ) -> DataFrame:
-    """Equi-join where rows of hot keys in ``big`` go to several tasks.
+    """Inner equi-join in which the rows of one key go to several tasks.
 
-    Hot rows get a slice number from a hash of ``spread_by`` (stable when a task is
-    re-run) and the few partners of hot keys in ``other`` are repeated per slice.
-    ``how``: inner, left, left_semi or left_anti. ``condition`` sees both sides' columns.
+    Every row of ``big`` falls into one slice by a hash of ``spread_by`` (stable when a
+    task is re-run); the far smaller side is repeated per slice. No pass over the data
+    is needed to find the crowded keys first.
     """
-    on = list(on)
-    hot = hot_keys(big, on, share, min_rows)
-    left, right = big, other
-    keys = on
-    if hot:
-        n = _slices(big, hot, on)
-        left = big.withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*spread_by), n), F.lit(0)).cast("int"))
-        n = _slices(other, hot, on)
-        right = other.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)))
-        keys = [*on, "_slice"]
-    if condition is None:
-        return left.join(right, keys, how).drop("_slice")
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    full = condition
-    for k in keys:
-        full = full & (F.col(k) == F.col(f"_r_{k}"))
-    joined = left.join(renamed, full, how)
-    return joined.drop("_slice", *[f"_r_{k}" for k in keys])
+    n = default_slices(big) if slices is None else slices
+    if n == 1:
+        return big.join(small, list(on))
+    left = big.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"))
+    right = small.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.join(right, [*on, "_slice"]).drop("_slice")
 
 
 class KeyedHistory:
