@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dwellmatch.functions.text import let
 from dwellmatch.functions.urls import canonical_url, external_id, is_rent_search_url, resolve_url, same_origin, url_path
@@ -99,8 +98,3 @@ def candidates(entries: DataFrame, links: DataFrame, base: str, since: Column |
     order = F.struct(*[-F.col(c) for c in ("priority", "map_pos", "pos", "sub")])
     first = latest_per_key(found.withColumn("_o", order), ["url"], ["_o"]).drop("_o")
     return first if limit is None else first.orderBy("priority", "map_pos", "pos", "sub").limit(limit)
-
-
-def cap(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
