@@ -89,3 +89,9 @@ def json_number(c: Column) -> Column:
     """JSON number text; not-a-number and infinities are null."""
     d = c.cast("double")
     return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), js_num(d))
+
+
+def map_over(below: Column, above: Column) -> Column:
+    """Both maps in one; ``above`` wins on shared keys, whatever the session's policy."""
+    kept = F.map_filter(below, lambda k, _: ~F.array_contains(F.map_keys(above), k))
+    return F.map_concat(kept, above)

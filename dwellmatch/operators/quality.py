@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellmatch.functions.keys import map_over
 from dwellmatch.functions.redact import canonical_json_text
 from dwellmatch.functions.text import normalize_identity
 from dwellmatch.functions.urls import looks_like_url
@@ -161,7 +162,7 @@ def quarantine_rows(rejected: DataFrame) -> DataFrame:
         rejected.withColumn("_key", key)
         .withColumn("external_id", F.coalesce(F.nullif("external_id", F.lit("")), "_key"))
         .withColumn("url", F.coalesce("url", F.concat(F.lit("https://quarantine.local/"), "source_slug", F.lit("/"), "_key")))
-        .withColumn("attributes", F.map_concat("attributes", extra))
+        .withColumn("attributes", map_over(F.col("attributes"), extra))
         .withColumn("lat", F.lit(None).cast("double"))
         .withColumn("lng", F.lit(None).cast("double"))
         .withColumn("images", F.expr(NO_IMAGES))
@@ -180,7 +181,7 @@ def gated_rows(gated: DataFrame) -> DataFrame:
     none = F.expr(NO_IMAGES)
     return (
         gated.withColumn("quarantined", bad)
-        .withColumn("attributes", F.when(bad, F.map_concat("attributes", extra)).otherwise(F.col("attributes")))
+        .withColumn("attributes", F.when(bad, map_over(F.col("attributes"), extra)).otherwise(F.col("attributes")))
         .withColumn("lat", F.when(~bad, F.col("lat")))
         .withColumn("lng", F.when(~bad, F.col("lng")))
         .withColumn("images", F.when(bad, none).otherwise(F.col("images")))
