@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, license_scan, url_filter
+from dwellmatch.llm import bpe_replay, language_ppm, license_scan, url_filter
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = language_ppm.held_out(F.col("doc_id"))
+    found = language_ppm.identify(docs, language_ppm.fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -70,7 +77,7 @@ FROM d
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op6_bpe_replay, op8_license_scan, op10_url_filter)}
+    return {run.__name__: run for run in (op6_bpe_replay, op7_language_ppm, op8_license_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
