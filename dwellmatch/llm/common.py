@@ -89,19 +89,18 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, k = shelf.put(edges, "cc-0"), 0
-    state = None
+    now, k, state = shelf.put(edges, "cc-0"), 0, None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = shelf.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"cc-{k}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = shelf.put(large, f"cc-{k}-large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = shelf.put(large.groupBy("u").agg(F.min("v").alias("m")), f"cc-{k}-down")
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = shelf.put(small.where("u <> v").distinct(), f"cc-{k + 1}")
-        seen = tuple(small.select(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.min("v"), F.sum(F.col("v") % 1000003)).first())
-        shelf.drop(f"cc-{k}")
-        shelf.drop(f"cc-{k}-large")
+        seen = tuple(small.select(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v") % 1000003)).first())
+        for name in ("", "-low", "-large", "-down"):
+            shelf.drop(f"cc-{k}{name}")
         now, k = small, k + 1
         if seen == state:
             break
