@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, language_ppm, license_scan, minhash_forest, url_filter
+from dwellmatch.llm import bpe_replay, language_ppm, license_scan, minhash_forest, suffix_dedup, url_filter
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -81,7 +85,7 @@ FROM d
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op2_minhash_forest, op6_bpe_replay, op7_language_ppm, op8_license_scan, op10_url_filter)}
+    return {run.__name__: run for run in (op2_minhash_forest, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

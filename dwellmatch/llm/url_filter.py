@@ -68,7 +68,7 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 WORDS = 4
 
 
-def _bits(key: Column) -> list[Column]:
+def bits_of(key: Column) -> list[Column]:
     """One bit for each of the four words of a block, from a hash other than the block's."""
     h = F.xxhash64(key, F.lit(7))
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
@@ -80,7 +80,7 @@ def bloom_blocks(listed: DataFrame, column: str, n_blocks: int) -> DataFrame:
     At most ``n_blocks`` rows of 40 bytes, whatever the length of the list.
     """
     key = F.col(column)
-    rows = listed.where(key.isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(key))])
+    rows = listed.where(key.isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits_of(key))])
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
@@ -116,7 +116,7 @@ def filter_urls(
     text, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     base = base.select("*", text.alias("rule"), verdict.alias("by_rule"), F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block"))
     may = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("key"))):
+    for i, bit in enumerate(bits_of(F.col("key"))):
         may = may & (F.col(f"w{i}").bitwiseAND(bit) == bit)
     may = F.coalesce(F.col("by_rule").isNull() & F.col("key").isNotNull() & may, F.lit(False))
     probed = base.join(blocks, "block", "left").select(id_col, "host", "path", "key", "rule", "by_rule", may.alias("may"))
@@ -126,3 +126,19 @@ def filter_urls(
     exact = probed.where("may").join(keys.select("key", F.lit(True).alias("hit")), "key", "left")
     checked = exact.select(*out, F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
     return passed.unionByName(checked)
+
+
+def possible(df: DataFrame, key: Column, keys: DataFrame, bits_per_key: int = 16, max_blocks: int = 1 << 18) -> DataFrame:
+    """``df`` with a column ``possible``: false only where ``key`` (not null) is surely not among ``keys``.
+
+    ``keys`` has one column and should be a written table; the broadcast filter is bounded as in
+    ``filter_urls``.
+    """
+    name = keys.columns[0]
+    n_blocks = max(1, min(max_blocks, -(-keys.count() * bits_per_key // 256)))
+    blocks = F.broadcast(bloom_blocks(keys, name, n_blocks))
+    probed = df.withColumn("_key", key).withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).join(blocks, "block", "left")
+    may = F.lit(True)
+    for i, bit in enumerate(bits_of(F.col("_key"))):
+        may = may & (F.col(f"w{i}").bitwiseAND(bit) == bit)
+    return probed.select(*[F.col(c) for c in df.columns], F.coalesce(may, F.lit(False)).alias("possible"))
