@@ -147,6 +147,12 @@ def repeated_windows(strings: list[tuple[int, bytes, bytes, int]]) -> list[int]:
     return masks.tolist()
 
 
+def _windows(row: tuple) -> int:
+    """Mask of all windows of a string: those that hold the core and end within the string."""
+    before, whole = len(row[2]), len(row[2]) + 1 + len(row[3])
+    return sum(1 << q for q in range(before + 1) if q + STEP <= whole)
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """(id, version, at, low, high, core, whole) for every anchor of every text."""
     schema = StructType([*docs.schema.fields[:2], *StructType.fromDDL("at int, low int, high int, core long, whole long")])
@@ -212,24 +218,45 @@ def _masks(strings: DataFrame) -> DataFrame:
     schema = StructType([*strings.select("class_a", "class_b", "before", "after").schema, StructField("mask", StructType.fromDDL("m int")[0].dataType)])
     arrow = to_arrow_schema(schema)
 
+    def batch_of(rows: list[tuple], masks: list[int]) -> pa.RecordBatch:
+        cols = [*zip(*(r[:4] for r in rows)), masks] if rows else [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         number = {c: k for k, c in enumerate(dict.fromkeys(r[:2] for r in rows))}
-        masks = repeated_windows([(number[r[:2]], r[2], r[3], r[4]) for r in rows])
-        cols = [*zip(*(r[:4] for r in rows)), masks]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+        return batch_of(rows, repeated_windows([(number[r[:2]], r[2], r[3], r[4]) for r in rows]))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:2] != rows[-1][:2]:
+                    yield rows
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body: list[tuple] = []
+        single: list[tuple] = []
         size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BODY and row[:2] != body[-1][:2]:
-                    yield solve(body)
-                    body, size = [], 0
-                body.append(row)
-                size += len(row[2]) + len(row[3]) + 2
+        for rows in classes(batches):
+            if len(rows) == 1:
+                # One kind of string: its windows differ in where the core stands, so it's down to copies.
+                single += rows if rows[0][4] > 1 else []
+            else:
+                body += rows
+                size += sum(len(r[2]) + len(r[3]) + 2 for r in rows)
+            if size >= BODY:
+                yield solve(body)
+                body, size = [], 0
+            if len(single) >= ROWS:
+                yield batch_of(single, [_windows(r) for r in single])
+                single = []
         if body:
             yield solve(body)
+        yield batch_of(single, [_windows(r) for r in single])
 
     return strings.select("class_a", "class_b", "before", "after", "times").mapInArrow(run, schema)
 
