@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, language_ppm, license_scan, minhash_forest, suffix_dedup, url_filter
+from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, license_scan, minhash_forest, suffix_dedup, url_filter
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_descent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, beside the rules, pages whose canonical url was fetched more than once."""
     pages = read_table(spark, sf_dir, "pages")
@@ -85,7 +89,7 @@ FROM d
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op2_minhash_forest, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op10_url_filter)}
+    return {run.__name__: run for run in (op2_minhash_forest, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
