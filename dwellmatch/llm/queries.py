@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, license_scan, minhash_forest, suffix_dedup, url_filter, warc_derive
+from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, url_filter, warc_derive
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
 
 
+def op3_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -97,7 +101,7 @@ FROM d
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
+    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
