@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -16,8 +16,8 @@ from dwellmatch.llm.common import Shelf, mix64
 from dwellmatch.llm.suffix_groups import suffix_array
 from dwellmatch.llm.url_filter import possible
 
-#: Anchors are chosen by the hashes of GRAM bytes, among WINDOW neighbouring places.
-GRAM, WINDOW = 16, 256
+#: Anchors are chosen by the hashes of GRAM bytes.
+GRAM = 16
 #: Starts of strings that are told apart together: the bytes in which they can differ are few.
 STEP = 16
 #: Bytes hashed at a time; a longer text is taken in overlapping pieces.
@@ -54,10 +54,16 @@ class RollingHash:
         return mix64((sums[stop] - sums[start]) * self.inverses[start] + (stop - start).astype(np.uint64))
 
 
+def window_of(length: int) -> int:
+    """Among how many neighbouring places an anchor is chosen: the more, the fewer anchors there are,
+    and the fewer bytes after an anchor all its strings share."""
+    return length * 5 // 8
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, rolling: RollingHash, chosen: RollingHash) -> dict[str, np.ndarray]:
     """Anchors of the strings of ``length`` bytes that lie within one of the texts ending at ``ends``.
 
-    The anchor of a string is the place of the least gram hash among its first WINDOW places (of
+    The anchor of a string is the place of the least gram hash among its first places (``window_of``; of
     equal ones the last), so equal strings have their anchors at equal distances. One row per
     anchor: ``text`` its text's number, ``at`` its place, ``low`` and ``high`` the first and last
     start of the strings that have it, ``core`` the hash of the bytes all these strings have after
@@ -65,7 +71,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, rolling: RollingHas
     """
     empty = {k: np.zeros(0, np.int64) for k in ("text", "at", "low", "high", "core", "whole")}
     begins = np.concatenate([[0], ends[:-1]])
-    n = len(data)
+    n, window = len(data), window_of(length)
     starts = [np.arange(b, e - length + 1) for b, e in zip(begins, ends) if e - b >= length]
     if not starts:
         return empty
@@ -74,19 +80,19 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, rolling: RollingHas
     places = np.arange(len(grams), dtype=np.uint64)
     last = np.uint64((1 << 24) - 1)
     key = grams & ~last | last - places
-    blocks = -(-len(key) // WINDOW) + 1
-    padded = np.full(blocks * WINDOW, np.uint64(_WORD))
+    blocks = -(-len(key) // window) + 1
+    padded = np.full(blocks * window, np.uint64(_WORD))
     padded[: len(key)] = key
-    padded = padded.reshape(blocks, WINDOW)
+    padded = padded.reshape(blocks, window)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     p = np.concatenate(starts)
-    anchor = (last - (np.minimum(behind[p], ahead[p + WINDOW - 1]) & last)).astype(np.int64)
+    anchor = (last - (np.minimum(behind[p], ahead[p + window - 1]) & last)).astype(np.int64)
     new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
     low, high, at = p[new], p[np.append(new[1:], len(p)) - 1], anchor[new]
     text = np.searchsorted(ends, at, side="right")
     sums = rolling.sums(data)
-    core = rolling.of(sums, at, at + length - WINDOW + 1)
+    core = rolling.of(sums, at, at + length - window + 1)
     shape = (at - low).astype(np.uint64) << np.uint64(32) | (at - high).astype(np.uint64)
     whole = mix64(rolling.of(sums, low, high + length) ^ mix64(shape + np.uint64(1)))
     origin = begins[text]
@@ -298,14 +304,14 @@ def cut(text: str | None, marks: list[dict] | None, length: int) -> tuple[bytes,
     return b"".join(kept), spans, len(data)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that starts at two or more places.
 
-    (id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]); ``kept_text`` replaces characters
-    that a cut has split. Strings are judged on the input, within one document each.
+    (id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, carried]); ``kept_text`` leaves out
+    characters that a cut has split, ``carried`` is a struct of the columns in ``carry``. Strings are judged on the input, within one document each.
 
-    1. Each string has an anchor among its first 256 places, chosen by content, so that equal
-       strings have theirs at equal distances. Anchors (one in about 128 bytes) are counted by the
+    1. Each string has an anchor among its first places (250 for 400 bytes), chosen by content, so that equal
+       strings have theirs at equal distances. Anchors (one in about 125 bytes) are counted by the
        bytes that all strings of an anchor share; those that occur once hold no repeated string.
     2. Where all occurrences of an anchor agree on all bytes of all its strings, these are all
        repeated. That settles the inner parts of copies, however many there are.
@@ -320,11 +326,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others (each gets its row); null ids are kept apart by their texts. Other columns are not looked
     at; an empty table gives no rows.
     """
-    if length < WINDOW + GRAM:
-        raise ValueError(f"length must be at least {WINDOW + GRAM}")
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be at least {4 * GRAM}")
     spark = docs.sparkSession
     shelf = Shelf(spark, "suffix-dedup")
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(*source_columns(id_col, text_col))
+    whole = source if carry is None else docs.select(*source_columns(id_col, text_col), F.struct(*carry).alias("carried"))
     found = shelf.put(_anchor_rows(source, length), "anchors")
     kinds = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     kinds = shelf.put(kinds.where("n > 1").select("core", (F.col("least") == F.col("most")).alias("agreed")), "kinds")
@@ -352,13 +359,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = marks.unionByName(edges).groupBy("id", "version").agg(F.collect_set(F.struct("start", "span", "mask")).alias("marks"))
     marks = shelf.put(marks, "marks")
 
-    judged = _possible(source, marks)
-    hit = judged.where("possible").alias("d").join(marks.alias("s"), _same_text(), "left").select("d.id", "d.text", "s.marks")
-    rest = judged.where("not possible").select("id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
+    more = [] if carry is None else ["carried"]
+    judged = _possible(whole, marks)
+    hit = judged.where("possible").alias("d").join(marks.alias("s"), _same_text(), "left").select("d.id", "d.text", "s.marks", *(f"d.{c}" for c in more))
+    rest = judged.where("not possible").select("id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"), *more)
     return _cut_rows(rest.unionByName(hit), id_col, length, with_text)
 
 
-def _same_text():
+def source_columns(id_col: str, text_col: str) -> list[Column]:
+    """``version`` tells texts apart that share an id."""
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text")]
+
+
+def _same_text() -> Column:
     return F.col("d.version").eqNullSafe(F.col("s.version")) & F.col("d.id").eqNullSafe(F.col("s.id"))
 
 
@@ -374,7 +388,7 @@ def _only_possible(source: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool) -> DataFrame:
     fields = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
-    schema = StructType([StructField(id_col, docs.schema["id"].dataType), *fields])
+    schema = StructType([StructField(id_col, docs.schema["id"].dataType), *fields, *docs.schema.fields[3:]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +398,11 @@ def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool) -> Dat
                 kept, spans, n = cut(text, marks, length)
                 values = [n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
                 if with_text:
-                    values.append(kept.decode("utf-8", "replace"))
+                    values.append(kept.decode("utf-8", "ignore"))
                 for col, value in zip(cols, values):
                     col.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:])]], schema=arrow)
+            made = [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:])]
+            carried = [batch.column(k).cast(f.type) for k, f in enumerate(list(arrow)[1 + len(made) :], 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *made, *carried], schema=arrow)
 
-    return docs.select("id", "text", "marks").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
