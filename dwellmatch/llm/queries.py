@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, url_filter, warc_derive
+from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, token_coder, url_filter, warc_derive
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_coder.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -101,7 +105,7 @@ FROM d
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
+    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op5_token_coder, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
