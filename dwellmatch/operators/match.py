@@ -13,19 +13,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dwellmatch.functions.geo import circle_cells, grid_cell, haversine_km
+from dwellmatch.functions.geo import GRIDS, circle_grid_cells, haversine_km, point_grid_cells
 from dwellmatch.functions.keys import json_number, json_string
 from dwellmatch.functions.numbers import js_num
-from dwellmatch.operators.skew import default_slices, sliced_join
+from dwellmatch.operators.skew import sliced_join
 from dwellmatch.schema import BOOLEAN_ATTRIBUTES, MATCHABLE_STATUSES
 from dwellmatch.sources.registry import bind_definitions
 
 NUMBER_COLUMNS = ["price", "warm_rent", "area", "rooms"]
 PLACE_COLUMNS = ["city", "postal_code", "bundesland"]
 TEXT_COLUMNS = [*PLACE_COLUMNS, "title", "url", "deal_type", "source_slug", "external_id"]
-CELL_DEGREES = 0.5
-SPREAD = 64  # key slices for profiles that offer no key at all
+BANDS = 4096  # number bands; the largest number falls into the last one
+STEP_BITS, STEPS = 4, 4  # band hierarchy: 16 bands of a step are one of the next
 _NUMBER = r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
 
 
@@ -140,67 +141,83 @@ def rule_rows(profiles: DataFrame, filters: DataFrame, definitions: DataFrame) -
     )
 
 
-def _log_bucket(c: Column) -> Column:
-    return F.floor(F.log2(F.greatest(c, F.lit(1.0))) * 4).cast("int")
+def number_band(c: Column) -> Column:
+    """Band of a number, without an upper end: a quarter of a doubling from an eighth upwards; every
+    number below (negative ones too) is in the first band."""
+    return F.least(F.floor(F.log2(F.greatest(c * 8, F.lit(1.0))) * 4), F.lit(BANDS - 1)).cast("int")
 
 
-def _span(lo: Column, hi: Column, bucket, top: float) -> Column:
-    a = bucket(F.coalesce(lo, F.lit(0.0)))
-    b = bucket(F.least(F.coalesce(hi, F.lit(top)), F.lit(top)))
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+def _range_keys(lo: Column, hi: Column) -> Column:
+    """Keys of the bands of [lo, hi]; an open end costs no more than a bound."""
+    last = F.when(hi.isNull(), F.lit(BANDS - 1)).otherwise(number_band(hi))
+    return _bands_between(F.when(lo.isNull(), F.lit(0)).otherwise(number_band(lo)), last)
 
 
-def _half(c: Column) -> Column:
-    return F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1e6)) * 2).cast("int")
+def _bands_between(first: Column, last: Column) -> Column:
+    """Keys "step:band" that cover the bands from ``first`` to ``last``.
+
+    From each step, only the bands outside whole bands of the next step are taken: at most 30 keys
+    a step.
+    """
+    none = F.array().cast("array<int>")
+    between = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(none)
+    live = first <= last
+    out = []
+    for step in range(STEPS):
+        up_first = F.shiftright(first + F.lit((1 << STEP_BITS) - 1), STEP_BITS)
+        up_last = F.shiftright(last + F.lit(1), STEP_BITS) - F.lit(1)
+        if step < STEPS - 1:
+            higher = live & (up_first <= up_last)
+            ends = F.concat(between(first, up_first * (1 << STEP_BITS) - 1), between((up_last + 1) * (1 << STEP_BITS), last))
+            here = F.when(higher, ends).when(live, between(first, last)).otherwise(none)
+        else:
+            higher, here = F.lit(False), F.when(live, between(first, last)).otherwise(none)
+        out.append(_with_step(here, step))
+        first, last, live = up_first, up_last, higher
+    return F.concat(*out)
+
+
+def _with_step(bands: Column, step: int) -> Column:
+    return F.transform(bands, lambda x: F.concat(F.lit(f"{step}:"), x.cast("string")))
+
+
+def _band_keys(c: Column) -> list[Column]:
+    """One key per step for a listing's number."""
+    band = number_band(c)
+    return [F.concat(F.lit(f"{step}:"), F.shiftright(band, STEP_BITS * step).cast("string")) for step in range(STEPS)]
 
 
-_TOP = 1e9
-# path → (bucket function, highest indexed value)
-_RANGE_PATHS = {
-    "price": (_log_bucket, _TOP),
-    "warm_rent": (_log_bucket, _TOP),
-    "area": (_log_bucket, _TOP),
-    "rooms": (_half, 100.0),
-}
+def _cell_key(c: Column) -> Column:
+    return F.concat_ws("|", c["g"], c["i"], c["j"])
 
 
-def profile_keys(rules: DataFrame, slices: int = 1) -> DataFrame:
-    """Rules with (path, key, slice) rows: the inverted index over saved searches.
+def profile_keys(rules: DataFrame) -> DataFrame:
+    """Rules with (path, key) rows: the inverted index over saved searches.
 
-    Order of preference: place sets, circle cells, ranges, a required attribute, and
-    for a profile that offers nothing, every slice of the listing hash. Each key is
-    repeated per slice so that one key's listings spread over ``slices`` tasks.
+    Order of preference: place sets, circle cells, ranges, a required attribute, and one common key
+    for a profile that offers nothing. A rule has as many keys as its sets have values, at most 100
+    cells for a circle of any size, and at most 120 bands for a range of any length.
     """
-    text = lambda a: F.transform(a, lambda x: x.cast("string"))
     c = F.col("circle")
-    cells = F.transform(
-        circle_cells(c["lat"], c["lng"], c["radius_km"], CELL_DEGREES),
-        lambda x: F.concat_ws("|", x["i"], x["j"]),
-    )
     paths = [
         ("city", F.col("city_in").isNotNull(), F.col("city_in")),
         ("postal_code", F.col("postal_code_in").isNotNull(), F.col("postal_code_in")),
-        ("circle", c.isNotNull(), cells),
+        ("circle", c.isNotNull(), F.transform(circle_grid_cells(c["lat"], c["lng"], c["radius_km"]), _cell_key)),
         ("bundesland", F.col("bundesland_in").isNotNull(), F.col("bundesland_in")),
     ]
-    for name, (bucket, top) in _RANGE_PATHS.items():
+    for name in NUMBER_COLUMNS:
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        paths.append((name, lo.isNotNull() | hi.isNotNull(), text(_span(lo, hi, bucket, top))))
+        paths.append((name, lo.isNotNull() | hi.isNotNull(), _range_keys(lo, hi)))
     flags = lambda mask, word: [
         F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(f"{k}={word}")) for i, k in enumerate(BOOLEAN_ATTRIBUTES)
     ]
     first_flag = F.coalesce(*flags("need_true", "true"), *flags("need_false", "false"))
     paths.append(("flag", first_flag.isNotNull(), F.array(first_flag)))
-    every = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    path, keys = F.lit("any"), text(every)
+    path, keys = F.lit("any"), F.array(F.lit("*"))
     for name, test, values in reversed(paths):
         path = F.when(test, F.lit(name)).otherwise(path)
         keys = F.when(test, values).otherwise(keys)
-    return (
-        rules.withColumn("path", path)
-        .withColumn("key", F.explode(keys))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    )
+    return rules.withColumn("path", path).withColumn("key", F.explode(keys))
 
 
 def match_columns(listings: DataFrame) -> DataFrame:
@@ -216,33 +233,43 @@ def match_columns(listings: DataFrame) -> DataFrame:
     return listings.select(*[c for c in wanted if c in listings.columns]).withColumns(masks)
 
 
-def listing_keys(listings: DataFrame, used: set[str], slices: int = 1) -> DataFrame:
-    """Listings repeated once per key kind in ``used``, each in one slice."""
-    cell = F.when(
-        F.col("lat").isNotNull() & F.col("lng").isNotNull(),
-        F.concat_ws("|", grid_cell(F.col("lat"), CELL_DEGREES), grid_cell(F.col("lng"), CELL_DEGREES)),
-    )
+def listing_keys(listings: DataFrame, used: set[tuple[str, str | None]]) -> DataFrame:
+    """Listings repeated once per key kind in ``used``: (path, key of a flag or None)."""
+    paths = {path for path, _ in used}
     keys = [(n, F.col(n)) for n in PLACE_COLUMNS]
-    keys.append(("circle", cell))
-    for name, (bucket, top) in _RANGE_PATHS.items():
-        keys.append((name, F.when(F.col(name).isNotNull(), bucket(F.least(F.col(name), F.lit(top))).cast("string"))))
+    here = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    cells = point_grid_cells(F.col("lat"), F.col("lng"))
+    keys += [("circle", F.when(here, _cell_key(F.get(cells, F.lit(g))))) for g in range(len(GRIDS))]
+    for name in NUMBER_COLUMNS:
+        keys += [(name, F.when(F.col(name).isNotNull(), k)) for k in _band_keys(F.col(name))]
     for i, name in enumerate(BOOLEAN_ATTRIBUTES):
         for word in ("true", "false"):
-            has = F.col(f"is_{word}").bitwiseAND(F.lit(1 << i)) != 0
-            keys.append(("flag", F.when(has, F.lit(f"{name}={word}"))))
-    keys.append(("any", F.pmod(F.xxhash64("listing_id"), F.lit(SPREAD)).cast("string")))
+            if ("flag", f"{name}={word}") in used:
+                has = F.col(f"is_{word}").bitwiseAND(F.lit(1 << i)) != 0
+                keys.append(("flag", F.when(has, F.lit(f"{name}={word}"))))
+    keys.append(("any", F.lit("*")))
     # No array_compact here: its lambda would keep the explode out of generated code.
-    rows = [F.struct(F.lit(path).alias("path"), key.alias("key")) for path, key in keys if path in used]
+    rows = [F.struct(F.lit(path).alias("path"), key.alias("key")) for path, key in keys if path in paths]
     return (
         listings.withColumn("_k", F.explode(F.array(*rows)))
         .withColumn("path", F.col("_k.path"))
         .withColumn("key", F.col("_k.key"))
         .drop("_k")
         .filter(F.col("key").isNotNull())
-        .withColumn("slice", F.pmod(F.xxhash64("listing_id"), F.lit(slices)).cast("int"))
     )
 
 
+def crowded_keys(keyed: DataFrame, tasks: int) -> DataFrame:
+    """(path, key, slices) of the keys that hold more than one task's share of the rows.
+
+    No more rows than there are tasks, whatever the data, so it can be broadcast.
+    """
+    counts = keyed.groupBy("path", "key").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // tasks)
+    return counts.filter(F.col("n") > share).select("path", "key", F.ceil(F.col("n") / share).cast("int").alias("slices"))
+
+
 def _field_json(rule: Column) -> Column:
     """JSON text of the listing value a rule reads."""
     value = F.element_at("attributes", rule["attribute"])
@@ -302,33 +329,43 @@ def inverse_match(
     """(profile_id, listing_id) of every active profile a listing satisfies.
 
     A listing with a status column takes part only while active or updated. A key that
-    holds much of the data (one city, one price band) is spread over ``slices`` tasks:
-    listings fall into one slice each, only the far smaller rule side is repeated. By
-    default the slices grow with the configured shuffle partitions. The rule side is
-    broadcast only when Spark's own size check allows it.
+    holds more than one task's share of the listings (one city, one price band) is cut into
+    slices by a count of the listings' keys: a listing falls into one slice, and only the rules
+    under such a key are repeated. ``slices`` cuts every key into as many instead. The rule
+    side is broadcast only when Spark's own size check allows it.
     """
     if "status" in listings.columns:
         listings = listings.filter(F.col("status").isin(MATCHABLE_STATUSES))
-    slices = default_slices(listings) if slices is None else slices
-    rules = profile_keys(rule_rows(profiles, filters, definitions), slices)
+    rules = profile_keys(rule_rows(profiles, filters, definitions))
     fields = match_columns(listings)
     odd = "extra is not null or more_circles is not null"
-    # Key kinds in use, at most eleven names for either group of rules.
-    kinds = rules.select("path", F.expr(odd).alias("odd")).distinct().collect()
-    keys = ["path", "key", "slice"]
-
-    def join(part: DataFrame, used: set[str], with_extra: bool) -> DataFrame:
+    # Key kinds in use: at most nine paths and eighteen flags for either group of rules.
+    flag = F.when(F.col("path") == "flag", F.col("key"))
+    kinds = rules.select("path", flag.alias("flag"), F.expr(odd).alias("odd")).distinct().collect()
+    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def join(part: DataFrame, used: set[tuple[str, str | None]], with_extra: bool) -> DataFrame:
+        narrow = [c for c in fields.columns if with_extra or c not in ("attributes", *TEXT_COLUMNS) or c in PLACE_COLUMNS]
+        keyed = listing_keys(fields.select(narrow), used)
+        if slices is None:
+            crowded = F.broadcast(crowded_keys(keyed, tasks))
+            keyed, part = (x.join(crowded, ["path", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1))) for x in (keyed, part))
+        else:
+            keyed, part = (x.withColumn("slices", F.lit(slices)) for x in (keyed, part))
+        keyed = keyed.withColumn("slice", F.pmod(F.xxhash64("listing_id", F.lit("slice")), F.col("slices")).cast("int")).drop("slices")
+        part = part.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        keys = ["path", "key", "slice"]
         right = part.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in part.columns])
         same = residual(with_extra)
         for k in keys:
             same = same & (F.col(k) == F.col(f"_r_{k}"))
-        return listing_keys(fields, used, slices).join(right, same).select("profile_id", "listing_id")
+        return keyed.join(right, same).select("profile_id", "listing_id")
 
     # Free-form conditions need array lambdas, which would keep the whole join out of
     # generated code; the rare profiles that have them are joined apart.
     parts = []
     for is_odd in (False, True):
-        used = {r["path"] for r in kinds if r["odd"] == is_odd}
+        used = {(r["path"], r["flag"]) for r in kinds if r["odd"] == is_odd}
         if used:
             some = rules.filter(odd if is_odd else f"not ({odd})")
             parts.append(join(some if is_odd else some.drop("extra", "more_circles"), used, is_odd))
@@ -411,32 +448,52 @@ def pass_counts(listings: DataFrame, filters: DataFrame, definitions: DataFrame)
         .agg(F.sum("n").alias("passes"))
     )
 
+    # Distinct values and their counts in order per field, cut into bands: a band knows how much lies
+    # above and below it, so a filter meets one row for all other bands and the values of its own.
     number = F.when(F.col("have").rlike(_NUMBER), F.col("have").try_cast("double"))
-    values = counts.withColumn("v", number).filter("v is not null").withColumn("b", _log_bucket(F.col("v")))
-    per_bucket = values.groupBy("field", "b").agg(F.sum("n").alias("bn"))
+    values = counts.withColumn("v", number).filter("v is not null").withColumn("b", number_band(F.col("v")))
     ranged = (
         scalar.filter(F.col("operator").isin("gte", "lte") & F.col("num").isNotNull())
-        .select(*key, "field", "num", _log_bucket(F.col("num")).alias("rb"))
+        .select(*key, "field", "num", number_band(F.col("num")).alias("b"))
     )
     up = F.col("operator") == "gte"
-    # Buckets: fewer than 130 per field, so this join stays small.
-    whole = ranged.join(per_bucket, "field").filter(F.when(up, F.col("b") > F.col("rb")).otherwise(F.col("b") < F.col("rb")))
+    # A field has fewer than 4096 bands; a filter takes those of one side as at most 60 keys.
+    per_band = values.groupBy("field", "b").agg(F.sum("n").alias("bn"))
+    steps = F.array(*[F.concat(F.lit(f"{s}:"), F.shiftright("b", STEP_BITS * s).cast("string")) for s in range(STEPS)])
+    stepped = per_band.select("field", F.explode(steps).alias("k"), "bn").groupBy("field", "k").agg(F.sum("bn").alias("bn"))
+    low = F.when(up, F.col("b") + 1).otherwise(F.lit(0))
+    high = F.when(up, F.lit(BANDS - 1)).otherwise(F.col("b") - 1)
+    whole = ranged.withColumn("k", F.explode(_bands_between(low, high))).join(stepped, ["field", "k"])
     whole = whole.groupBy(*key).agg(F.sum("bn").alias("passes"))
-    edge = ranged.withColumnRenamed("rb", "b").join(values, ["field", "b"])
-    edge = edge.filter(F.when(up, F.col("v") >= F.col("num")).otherwise(F.col("v") <= F.col("num")))
-    edge = edge.groupBy(*key).agg(F.sum("n").alias("passes"))
+    edge = _at_threshold(ranged, values, key)
 
     at = cols.filter("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.count("*").alias("n"))
-    at = at.withColumn("i", grid_cell(F.col("lat"), CELL_DEGREES)).withColumn("j", grid_cell(F.col("lng"), CELL_DEGREES))
+    at = at.select("lat", "lng", "n", F.inline(point_grid_cells(F.col("lat"), F.col("lng"))))
     c = F.col("circle")
-    circles = rules.filter("is_circle").select(
-        *key, "circle", F.inline(circle_cells(c["lat"], c["lng"], c["radius_km"], CELL_DEGREES))
-    )
-    inside = circles.join(at, ["i", "j"]).filter(_circle_passes(c)).groupBy(*key).agg(F.sum("n").alias("passes"))
+    circles = rules.filter("is_circle").select(*key, "circle", F.inline(circle_grid_cells(c["lat"], c["lng"], c["radius_km"])))
+    inside = sliced_join(at, circles, ["g", "i", "j"], ["lat", "lng"]).filter(_circle_passes(c)).groupBy(*key).agg(F.sum("n").alias("passes"))
     parts = equal.unionByName(whole).unionByName(edge).unionByName(inside)
     return parts.groupBy(*key).agg(F.sum("passes").alias("passes"))
 
 
+def _at_threshold(ranged: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
+    """Passes within a filter's own band, from running counts over the band's values and thresholds.
+
+    Values and thresholds of a band are laid in one order and counted along it, so no threshold
+    meets the values one by one.
+    """
+    up = F.col("operator") == "gte"
+    none = F.lit(None)
+    marks = ranged.select("field", "b", F.col("num").alias("v"), F.when(up, F.lit(0)).otherwise(F.lit(2)).alias("side"), F.lit(0).cast("long").alias("n"), *key)
+    points = values.select("field", "b", "v", F.lit(1).alias("side"), "n", *[none.cast("string").alias(k) for k in key])
+    line = Window.partitionBy("field", "b").orderBy("v", "side")
+    upto = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy("field", "b"))
+    counted = marks.unionByName(points).withColumn("upto", upto).withColumn("total", total).filter("operator is not null")
+    # A lower bound stands before equal values, an upper bound after them.
+    return counted.select(*key, F.when(up, F.col("total") - F.col("upto")).otherwise(F.col("upto")).alias("passes"))
+
+
 def failure_counts(
     listings: DataFrame, profiles: DataFrame, filters: DataFrame, definitions: DataFrame
 ) -> DataFrame:
@@ -451,26 +508,20 @@ def failure_counts(
     return counted.groupBy("key").agg(F.sum(failing).alias("failures"))
 
 
-def radius_join(points: DataFrame, circles: DataFrame, cell: float = CELL_DEGREES, slices: int | None = None) -> DataFrame:
+def radius_join(points: DataFrame, circles: DataFrame, slices: int | None = None) -> DataFrame:
     """All (point, circle) pairs within the radius, with the distance.
 
     ``points``: point_id, lat, lng. ``circles``: circle_id, c_lat, c_lng, radius_km.
-    Meets on grid cells; a circle lists each cell once, a point has one cell, so no
-    pair appears twice. Points of a crowded cell spread over the slices.
+    Meets on grids: a circle lists cells of the grid that fits its size, a point has one
+    cell on each, so no pair appears twice. Points of a crowded cell spread over the slices.
     """
-    p = (
-        points.filter("lat is not null and lng is not null")
-        .withColumn("_i", grid_cell(F.col("lat"), cell))
-        .withColumn("_j", grid_cell(F.col("lng"), cell))
-    )
-    c = circles.select(
-        "*", F.inline(circle_cells(F.col("c_lat"), F.col("c_lng"), F.col("radius_km"), cell)).alias("_i", "_j")
-    )
+    p = points.filter("lat is not null and lng is not null").select("*", F.inline(point_grid_cells(F.col("lat"), F.col("lng"))).alias("_g", "_i", "_j"))
+    c = circles.select("*", F.inline(circle_grid_cells(F.col("c_lat"), F.col("c_lng"), F.col("radius_km"))).alias("_g", "_i", "_j"))
     return (
-        sliced_join(p, c, ["_i", "_j"], ["point_id"], slices)
+        sliced_join(p, c, ["_g", "_i", "_j"], ["point_id"], slices)
         .withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
         .filter(F.col("km") <= F.col("radius_km"))
-        .drop("_i", "_j")
+        .drop("_g", "_i", "_j")
     )
 
 

@@ -33,10 +33,10 @@ def frames(spark, filters_by_profile):
     return profiles, spark.createDataFrame(flat, FILTER)
 
 
-def both(spark, listings, filters_by_profile, definitions=None):
+def both(spark, listings, filters_by_profile, definitions=None, slices=3):
     definitions = filter_definitions(spark) if definitions is None else definitions
     profiles, filters = frames(spark, filters_by_profile)
-    got = {(r.profile_id, r.listing_id) for r in match.inverse_match(listings, profiles, filters, definitions, slices=3).collect()}
+    got = {(r.profile_id, r.listing_id) for r in match.inverse_match(listings, profiles, filters, definitions, slices=slices).collect()}
     ids = [r.listing_id for r in listings.select("listing_id").collect()]
     pairs = spark.createDataFrame([(p, i) for p in filters_by_profile for i in ids], "profile_id long, listing_id string")
     explained = match.explain_pairs(pairs, listings, filters, definitions).collect()
@@ -162,6 +162,25 @@ def test_random_profiles_equal_brute_force(spark):
     assert got == want and len(want) > 500
 
 
+@pytest.mark.parametrize("slices", [None, 1, 3, 64])
+def test_extreme_bounds_and_circles(spark, slices):
+    listings = rows(
+        spark, BASE, {**BASE, "listing_id": "l2", "rooms": 150.0, "price": 2e9}, {**BASE, "listing_id": "l3", "price": 1e300, "rooms": 0.0, "lat": -89.95, "lng": 180.0},
+        {**BASE, "listing_id": "l4", "price": 0.0, "area": None, "lat": 0.0, "lng": -180.0},
+    )
+    circle = lambda lat, lng, r: [("location", "within", {"lat": lat, "lng": lng, "radius_km": r})]
+    profs = {
+        1: [("rooms", "gte", 120)], 2: [("price", "gte", 1.5e9)], 3: [("price", "gte", 1e299)], 4: [("price", "lte", 0)], 5: [("price", "gte", -5)],
+        6: circle(10, 10, 20000), 7: circle(0, 179.9, 50), 8: circle(90, 0, 20000), 9: circle(-90, 0, 100), 10: circle(50, 10, 4000), 11: [],
+        12: [("price", "gte", 1200), ("price", "lte", 1e9)], 13: [("balcony", "eq", True)], 14: [("area", "gte", 0), ("rooms", "lte", 2.5)],
+    }
+    got, _ = both(spark, listings, profs, slices=slices)
+    assert {(1, "l2"), (2, "l2"), (2, "l3"), (3, "l3"), (4, "l4"), (7, "l4"), (9, "l3"), (12, "l1")} <= got
+    profiles, filters = frames(spark, profs)
+    keys = match.profile_keys(match.rule_rows(profiles, filters, filter_definitions(spark))).groupBy("profile_id").count().collect()
+    assert max(r["count"] for r in keys) <= 120
+
+
 def test_failure_counts_equal_pairs(spark):
     rnd = random.Random(5)
     listings = rows(spark, *[{**BASE, "listing_id": f"l{i}", "price": float(rnd.randrange(50, 900)), "city": rnd.choice("AB")} for i in range(40)])
