@@ -15,10 +15,11 @@ def lifecycle(config: Column) -> Column:
     """struct(status, approved, block_reason) from a source's JSON config."""
     read = lambda *names: F.coalesce(*[F.get_json_object(config, f"$.{n}") for n in names])
     status = read("lifecycleStatus", "lifecycle_status")
-    # The JSON word true is approval, the string "true" is not.
-    approved = F.coalesce(
-        config.rlike(r'"(?:activationApproved|activation_approved)"\s*:\s*true\b'), F.lit(False)
-    )
+    # A top-level member with the JSON word true is approval; the string "true" or a member of some
+    # nested object is not.
+    parsed = F.try_parse_json(config)
+    is_true = lambda name: (F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == "BOOLEAN") & F.try_variant_get(parsed, f"$.{name}", "boolean")
+    approved = F.coalesce(is_true("activationApproved"), F.lit(False)) | F.coalesce(is_true("activation_approved"), F.lit(False))
     reason = F.nullif(F.trim(read("activationBlockReason", "activation_block_reason")), F.lit(""))
     return F.struct(
         F.when(status.isin(LIFECYCLE_STATUSES), status).otherwise(DEFAULT_LIFECYCLE).alias("status"),

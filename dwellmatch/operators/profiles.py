@@ -307,11 +307,11 @@ def apply_profile_changes(
     return out.drop("c"), filters.join(replaced, "profile_id", "left_anti").unionByName(added)
 
 
-def derive_search_areas(profiles: DataFrame, filters: DataFrame, max_areas: int = 10) -> DataFrame:
+def derive_search_areas(profiles: DataFrame, filters: DataFrame, max_areas: int | None = None) -> DataFrame:
     """Search areas of the active profiles: city, radius with centre, price cap.
 
     One area per (lower-case city, radius, price), the smallest profile id speaking for
-    it; the first ``max_areas`` in profile order.
+    it; the first ``max_areas`` in profile order if given.
     """
     text = lambda c: F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
     first = lambda cond, c: F.min_by(F.when(cond, c), F.when(cond, F.col("position")))
@@ -339,11 +339,8 @@ def derive_search_areas(profiles: DataFrame, filters: DataFrame, max_areas: int
     first_of = areas.groupBy(F.lower("location").alias("_l"), "radius_km", "max_price").agg(
         F.min_by(F.struct("profile_id", "location", "lat", "lng"), "profile_id").alias("a")
     )
-    return (
-        first_of.select("a.profile_id", "a.location", "radius_km", "max_price", "a.lat", "a.lng")
-        .orderBy("profile_id")
-        .limit(max_areas)
-    )
+    areas = first_of.select("a.profile_id", "a.location", "radius_km", "max_price", "a.lat", "a.lng")
+    return areas if max_areas is None else areas.orderBy("profile_id").limit(max_areas)
 
 
 def set_radius(filters: DataFrame, definitions: DataFrame, radius_km: float) -> tuple[DataFrame, DataFrame]:

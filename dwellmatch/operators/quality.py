@@ -151,9 +151,10 @@ def split_gate(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def quarantine_rows(rejected: DataFrame) -> DataFrame:
     """Rejected rows in stored shape: flag and issues in the attributes, synthetic id and
-    URL where missing, no geo, no images. A row without an id is known by its raw text."""
+    URL where missing, no geo, no images. A row without an id is known by its whole raw text (not only by its start, so that
+    different rows stay different listings)."""
     raw = canonical_json_text(F.col("raw")) if "raw" in rejected.columns else F.lit("null")
-    basis = F.when(F.length(F.trim("external_id")) > 0, F.col("external_id")).otherwise(F.substring(raw, 1, 200))
+    basis = F.when(F.length(F.trim("external_id")) > 0, F.col("external_id")).otherwise(raw)
     key = F.sha2(normalize_identity(F.concat_ws("|", "source_slug", basis)), 256)
     extra = F.create_map(
         F.lit("_quarantine"), F.lit("true"), F.lit("_quality_issues"), F.to_json("issues")

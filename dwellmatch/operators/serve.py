@@ -23,6 +23,11 @@ def check_search_args(limit: int = 20, **bounds: float | None) -> None:
         raise ValueError("price_min must be <= price_max")
 
 
+def _check_page(limit: int, most: int) -> None:
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+
+
 def search_listings(
     listings: DataFrame,
     city: str | None = None,
@@ -163,7 +168,8 @@ def activation_list(sources: DataFrame, registered: list[str]) -> DataFrame:
 def search_users(users: DataFrame, text: str | None, limit: int = 200) -> DataFrame:
     """Users whose e-mail contains the text, newest first."""
     df = users if not text else users.filter(F.lower("email").contains(text.lower()))
-    return df.orderBy(F.desc("created_at"), F.asc("user_id")).limit(min(limit, 200))
+    _check_page(limit, 200)
+    return df.orderBy(F.desc("created_at"), F.asc("user_id")).limit(limit)
 
 
 def runs_of_source(runs: DataFrame, n: int = 50) -> DataFrame:
@@ -172,7 +178,8 @@ def runs_of_source(runs: DataFrame, n: int = 50) -> DataFrame:
 
 def audit_log(log: DataFrame, users: DataFrame, limit: int = 500) -> DataFrame:
     """Newest audit rows with the actor's e-mail; limited before the join."""
-    newest = log.orderBy(F.desc("at"), F.asc("audit_id")).limit(min(limit, 500))
+    _check_page(limit, 500)
+    newest = log.orderBy(F.desc("at"), F.asc("audit_id")).limit(limit)
     return newest.join(users.select(F.col("user_id").alias("actor_id"), "email"), "actor_id", "left")
 
 
@@ -182,20 +189,19 @@ def queue_counts(audit: DataFrame) -> DataFrame:
     return counts.withColumn("depth", F.col("waiting"))
 
 
-def personal_export(users: DataFrame, profiles: DataFrame, filters: DataFrame, subscriptions: DataFrame, matches: DataFrame, max_matches: int = 1000) -> DataFrame:
+def personal_export(users: DataFrame, profiles: DataFrame, filters: DataFrame, subscriptions: DataFrame, matches: DataFrame) -> DataFrame:
     """Everything held about each user as (user_id, section, item JSON) rows.
 
     Long form: write it partitioned by user; no user's data is gathered in one row.
     """
     nested = profiles_with_filters(profiles, filters)
     mine = matches.join(profiles.select("profile_id", "user_id"), "profile_id")
-    newest = top_per_group(mine, "user_id", [F.desc("matched_at"), F.asc("profile_id"), F.asc("listing_id")], max_matches)
     section = lambda name, df, cols: df.select("user_id", F.lit(name).alias("section"), F.to_json(F.struct(*cols)).alias("item"))
     return (
         section("account", users, ["email", "status"])
         .unionByName(section("profile", nested, ["profile_id", "is_active", "filters"]))
         .unionByName(section("subscription", subscriptions, ["subscription_id", "chat_id", "enabled"]))
-        .unionByName(section("match", newest, ["profile_id", "listing_id", "state"]))
+        .unionByName(section("match", mine, ["profile_id", "listing_id", "state"]))
     )
 
 

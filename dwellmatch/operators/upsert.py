@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dwellmatch.functions.keys import canonical_json, fingerprint, iso_time, soft_fingerprint
 from dwellmatch.functions.numbers import js_num
 from dwellmatch.operators.skew import MIN_ROWS, SHARE, KeyedHistory
-from dwellmatch.schema import BOOLEAN_ATTRIBUTES, MAX_IMAGES, STORED_DECIMALS
+from dwellmatch.schema import BOOLEAN_ATTRIBUTES, STORED_DECIMALS
 
 TEXT_FIELDS = ["url", "title", "city", "bundesland", "postal_code"]
 NUMBER_FIELDS = ["price", "warm_rent", "area", "rooms"]
@@ -36,14 +36,11 @@ def resolve_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     by_id = stored.select("source_slug", "external_id", F.col("listing_id").alias("_a"), F.col("last_seen_at").alias("_ta"))
     by_fp = stored.select("fingerprint", F.col("listing_id").alias("_b"), F.col("last_seen_at").alias("_tb"))
     first = incoming.join(by_id, ["source_slug", "external_id"], "left")
-    # Rows already found carry a null key into the second look-up and match nothing there.
-    key = F.when(F.col("_a").isNull(), F.col("fingerprint"))
-    second = first.withColumn("_fp", key).join(by_fp.withColumnRenamed("fingerprint", "_fp"), "_fp", "left")
-    return (
-        second.withColumn("listing_id", F.coalesce("_a", "_b", "fingerprint"))
-        .withColumn("stored_seen_at", F.coalesce("_ta", "_tb"))
-        .drop("_a", "_b", "_ta", "_tb", "_fp")
-    )
+    # Only rows that were not found go on to the second look-up.
+    found = first.filter("_a is not null").withColumn("listing_id", F.col("_a")).withColumn("stored_seen_at", F.col("_ta"))
+    rest = first.filter("_a is null").join(by_fp, "fingerprint", "left")
+    rest = rest.withColumn("listing_id", F.coalesce("_b", "fingerprint")).withColumn("stored_seen_at", F.col("_tb"))
+    return found.drop("_a", "_ta").unionByName(rest.drop("_a", "_ta", "_b", "_tb"))
 
 
 def split_late(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +60,7 @@ def late_history(late: DataFrame) -> DataFrame:
 
 
 def _image_urls() -> Column:
-    return F.transform(F.slice("images", 1, MAX_IMAGES), lambda i: i["url"])
+    return F.transform("images", lambda i: i["url"])
 
 
 def _field_text(c: Column, name: str) -> Column:
@@ -117,7 +114,7 @@ def listing_versions(
     base = incoming.withColumn("_old", F.lit(0)).withColumn("stored_status", F.lit(None).cast("string"))
     base = base.withColumn("stored_pending", F.lit(None).cast("struct<event:string,version:string>"))
     if stored is not None:
-        touched = stored.join(incoming.select("listing_id").distinct(), "listing_id", "left_semi")
+        touched = stored.join(incoming.select("listing_id"), "listing_id", "left_semi")
         old = (
             touched.withColumn("_old", F.lit(1))
             .withColumn("stored_status", F.col("status"))
@@ -262,7 +259,7 @@ def snapshot(versions: DataFrame, stored: DataFrame | None = None, seq: Sequence
     at = F.struct("seen_at", *seq)
     effective = F.col("outcome") != "touched"
     fields = [f for f in SNAPSHOT_FIELDS if f in versions.columns]
-    body = F.struct(*[F.slice("images", 1, MAX_IMAGES).alias("images") if f == "images" else F.col(f) for f in fields])
+    body = F.struct(*[F.col(f) for f in fields])
     latest = versions.groupBy("listing_id").agg(
         F.max_by(body, F.when(effective, at)).alias("b"),
         F.min(F.when(F.col("outcome") == "new", F.col("seen_at"))).alias("first_seen_at"),

@@ -152,12 +152,13 @@ def result_model(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "price", "area", "rooms", "postal_code", "street")
 
 
-@query(
-    "a5_sitemap_entries",
+_MAP_SQL = (
     "SELECT order_no, pos, concat('https://portal.example/expose/', external_id, '?a=1&b=2') AS loc, CASE WHEN s3 % 2 = 0 THEN seen_at END AS lastmod FROM ("
-    "SELECT *, cast(split_part(external_id, '-', 1) as bigint) AS order_no, row_number() OVER (PARTITION BY split_part(external_id, '-', 1) ORDER BY external_id, seen_at, s1, s2, s3, s4) - 1 AS pos FROM obs) WHERE pos < 3",
+    "SELECT *, cast(split_part(external_id, '-', 1) as bigint) AS order_no, row_number() OVER (PARTITION BY split_part(external_id, '-', 1) ORDER BY external_id, seen_at, s1, s2, s3, s4) - 1 AS pos FROM obs)"
 )
-def sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
+
+
+def _order_maps(spark: SparkSession, d: str, max_urls: int | None) -> DataFrame:
     entry = F.concat(
         F.lit("<url>\n<loc>https://portal.example/expose/"), "external_id", F.lit("?a=1&amp;b=2</loc>"),
         F.when(F.col("s3") % 2 == 0, F.concat(F.lit("<lastmod>"), F.date_format("seen_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</lastmod>"))).otherwise(""),
@@ -167,12 +168,23 @@ def sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
     # One map per order: an order's lines.
     maps = rows.groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "").alias("x"))
     xml = F.concat(F.lit("<?xml version='1.0'?><urlset>"), "x", F.lit("</urlset>"))
-    out = sitemap.sitemap_entries(maps.select(F.col("o").cast("string").alias("map_url"), xml.alias("xml")), max_urls=3)
+    out = sitemap.sitemap_entries(maps.select(F.col("o").cast("string").alias("map_url"), xml.alias("xml")), max_urls=max_urls)
     return out.select(
         F.col("map_url").cast("long").alias("order_no"), F.col("pos").cast("long").alias("pos"), "loc", F.col("lastmod").cast("timestamp_ntz").alias("lastmod")
     )
 
 
+@query("a5_sitemap_entries", _MAP_SQL)
+def sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _order_maps(spark, d, None)
+
+
+@query("a5_sitemap_budget", f"{_MAP_SQL} WHERE pos < 3")
+def sitemap_budget(spark: SparkSession, d: str) -> DataFrame:
+    """At most three entries of each map, which is what a budget is for."""
+    return _order_maps(spark, d, 3)
+
+
 _MAPS = "https://portal.example/sitemap"
 
 
@@ -477,8 +489,8 @@ def parking_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "b15_area_caps",
-    "SELECT city, listing_id FROM (SELECT city, listing_id, row_number() OVER (PARTITION BY city ORDER BY price, listing_id) AS rn FROM live WHERE price IS NOT NULL) WHERE rn <= 7",
+    "SELECT city, listing_id FROM (SELECT city, listing_id, row_number() OVER (PARTITION BY city ORDER BY coalesce(price, 1e12), listing_id) AS rn FROM live) WHERE rn <= 7",
 )
 def area_caps(spark: SparkSession, d: str) -> DataFrame:
-    rows = fr.live(spark, d).filter("price is not null").select("city", "listing_id", "price")
+    rows = fr.live(spark, d).select("city", "listing_id", F.coalesce("price", F.lit(1e12)).alias("price"))
     return feeds.cap_per_area(rows, "city", ["price", "listing_id"], per_area=7, total=None).drop("price")

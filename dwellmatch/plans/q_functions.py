@@ -83,14 +83,14 @@ def range_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c6_text_facts",
-    "SELECT listing_id, area, rooms, price AS cold_rent, price AS labelled, CASE WHEN s3 % 2 = 0 THEN 1 ELSE rooms END AS shared_rooms FROM live WHERE price IS NOT NULL",
+    "SELECT listing_id, area, rooms, price AS cold_rent, price AS labelled, CASE WHEN s3 % 2 = 0 THEN 1 ELSE rooms END AS shared_rooms FROM live",
 )
 def text_facts(spark: SparkSession, d: str) -> DataFrame:
     comma = lambda c: F.replace(N.js_num(F.col(c)), F.lit("."), F.lit(","))
-    text = F.concat(comma("rooms"), F.lit(" Zimmer, "), comma("area"), F.lit(" m², für "), comma("price"), F.lit(" € kalt"))
+    text = F.concat(comma("rooms"), F.lit(" Zimmer, "), comma("area"), F.lit(" m²"), F.coalesce(F.concat(F.lit(", für "), comma("price"), F.lit(" € kalt")), F.lit("")))
     labelled = F.concat(F.lit("Top! Kaltmiete: ca. "), comma("price"), F.lit(" EUR warm"))
     shared = F.when(F.col("s3") % 2 == 0, "Platz in WG").otherwise(text)
-    live = fr.live(spark, d).filter("price is not null").select(
+    live = fr.live(spark, d).select(
         "listing_id", "s3", text.alias("t"), labelled.alias("l"), shared.alias("s"), X.rental_type(F.lit("WG")).alias("kind")
     )
     return live.select(

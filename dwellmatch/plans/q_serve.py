@@ -131,7 +131,7 @@ def system_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SOURCE_CONFIG = (
-    "concat('{\"lifecycleStatus\":\"', CASE s % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'beta' WHEN 2 THEN 'blocked' ELSE 'odd' END, '\",\"activationApproved\":', CASE WHEN s % 2 = 0 THEN 'true' ELSE 'false' END, '}')"
+    "concat('{\"lifecycleStatus\":\"', CASE s % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'beta' WHEN 2 THEN 'blocked' ELSE 'odd' END, '\",\"activationApproved\":', CASE WHEN s % 2 = 0 THEN 'true' ELSE 'false' END, ',\"options\":{\"activationApproved\":true}}')"
 )
 
 
@@ -234,7 +234,7 @@ def queue_counts(spark: SparkSession, d: str) -> DataFrame:
     "h13_personal_export",
     "WITH m AS (SELECT pm.*, p.user_id, row_number() OVER (PARTITION BY p.user_id ORDER BY matched_at DESC, pm.profile_id, listing_id) AS rn FROM past_matches pm JOIN profiles p ON p.profile_id = pm.profile_id) "
     "SELECT c_custkey AS user_id, 'account' AS section, count(*) AS items FROM customer GROUP BY 1 UNION ALL SELECT user_id, 'profile', count(*) FROM profiles GROUP BY 1 "
-    "UNION ALL SELECT user_id, 'subscription', count(*) FROM subs GROUP BY 1 UNION ALL SELECT user_id, 'match', count(*) FROM m WHERE rn <= 1000 GROUP BY 1",
+    "UNION ALL SELECT user_id, 'subscription', count(*) FROM subs GROUP BY 1 UNION ALL SELECT user_id, 'match', count(*) FROM m GROUP BY 1",
 )
 def personal_export(spark: SparkSession, d: str) -> DataFrame:
     rows = serve.personal_export(
@@ -336,7 +336,7 @@ def current_consents(spark: SparkSession, d: str) -> DataFrame:
     "b17_search_areas",
     "WITH a AS (SELECT profile_id, f_city AS location, floor(f_radius + 0.5) AS radius_km, CASE WHEN f_price >= 50 THEN least(f_price, 50000) END AS max_price, f_lat AS lat, f_lng AS lng FROM wide WHERE is_active AND f_city IS NOT NULL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY lower(location), radius_km, max_price ORDER BY profile_id) AS rn FROM a) "
-    "SELECT profile_id, location, radius_km, max_price, lat, lng FROM r WHERE rn = 1 ORDER BY profile_id LIMIT 10",
+    "SELECT profile_id, location, radius_km, max_price, lat, lng FROM r WHERE rn = 1",
 )
 def search_areas(spark: SparkSession, d: str) -> DataFrame:
     return profiles.derive_search_areas(A.profiles(spark, d), A.filters(spark, d))

@@ -199,3 +199,39 @@ def test_quiet_hours_and_mute(spark):
     assert due("2024-01-01 06:59:00") == "2024-01-01 07:00:00"
     assert due("2024-01-01 12:00:00") == "2024-01-01 12:00:00"
     assert due("2024-01-01 12:00:00", "2024-01-01 22:10:00") == "2024-01-02 07:00:00"
+
+
+def test_search_arguments():
+    from dwellmatch.operators.serve import check_search_args
+
+    check_search_args(limit=100, price_min=1, price_max=1)
+    for bad in ({"limit": 0}, {"limit": 101}, {"price_min": -1}, {"price_min": 2, "price_max": 1}):
+        with pytest.raises(ValueError):
+            check_search_args(**bad)
+
+
+def test_page_sizes_are_refused_not_clipped(spark):
+    from dwellmatch.operators import serve
+
+    users = spark.createDataFrame([(1, "a@b", 1)], "user_id long, email string, created_at long")
+    with pytest.raises(ValueError):
+        serve.search_users(users, "a", limit=201)
+
+
+def test_deep_json_is_a_broken_block(spark):
+    deep = '<script type="application/ld+json">' + "[" * 100_000 + "]" * 100_000 + "</script>"
+    ok = '<script type="application/ld+json">{"@graph":[{"@type":"Apartment"},[{"a":1}]]}</script>'
+    from dwellmatch.sources import jsonld
+
+    pages = spark.createDataFrame([(deep + ok,)], "html string")
+    assert jsonld.with_objects(pages).first()["objects"] == ['{"@type":"Apartment"}', '{"a":1}']
+    row = spark.createDataFrame([("[" * 100_000 + "]" * 100_000,)], "t string").select(redact.redact_json(F.col("t")).alias("r")).first()
+    assert row["r"] is None
+
+
+def test_text_attributes_are_valid_json(spark):
+    from dwellmatch.sources.mapping import _text_attr
+
+    text = 'a "b" \\ c\nd'
+    got = spark.createDataFrame([(text,)], "t string").select(_text_attr("x", F.col("t")).alias("m")).first()["m"]["x"]
+    assert json.loads(got) == text
