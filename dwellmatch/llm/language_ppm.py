@@ -25,7 +25,7 @@ CHUNK = 1 << 19
 class PpmModel:
     """Frozen statistics of all languages, as code lengths.
 
-    ``symbol`` numbers the bytes met in training from 1; 0 is every other byte. ``state`` leads from
+    ``symbol`` numbers the bytes met in training from 1; 0 is every other byte, which no context knows. ``state`` leads from
     the last three symbols to the longest context known, ``bits[state, symbol, language]`` is what
     the next symbol costs there, escapes included.
     """
@@ -98,7 +98,7 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     context no longer count in the shorter one, and at last all bytes left are equally likely.
     """
     symbol = np.zeros(256, np.int64)
-    met = np.unique(gram & 255)
+    met = np.union1d(gram & 255, [0])  # zero bytes stand before each text
     symbol[met] = np.arange(1, len(met) + 1)
     n_symbols = len(met) + 1
     digits = [symbol[gram >> shift & 255] for shift in (24, 16, 8, 0)]
