@@ -30,6 +30,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros((0, 0))
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length."""
+    rows = column.to_numpy(zero_copy_only=False)
+    lengths = np.array([len(r) for r in rows])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        yield at, np.array([np.asarray(rows[k], np.float64) for k in at])
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[list[np.ndarray]]:
     """Runs of rows with equal first ``keys`` columns, as arrays, the last column as a matrix; runs longer
     than ``most`` are cut."""
@@ -106,12 +115,12 @@ def _first_lists(nodes: DataFrame, orders: int, k: int) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _matrix(batch.column(2))
-            for order in range(orders):
-                for dim in {unit.shape[1]} if unit.size else ():
-                    planes = np.random.default_rng((order, dim)).standard_normal((dim, BITS))
+            for at, unit in _by_length(batch.column(2)):
+                rows = batch.take(pa.array(at))
+                for order in range(orders):
+                    planes = np.random.default_rng((order, unit.shape[1])).standard_normal((unit.shape[1], BITS))
                     key = ((unit @ planes > 0) << np.arange(BITS)[::-1]).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), batch.column(1), pa.array(key.astype(np.int64)), batch.column(0), batch.column(2)], names=["order", "part", "key", "id", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), rows.column(1), pa.array(key.astype(np.int64)), rows.column(0), rows.column(2)], names=["order", "part", "key", "id", "unit"])
 
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -182,11 +191,10 @@ def audit(nodes: DataFrame, component: DataFrame, least: float) -> float:
         for batch in batches:
             part = batch.column(1).to_numpy(zero_copy_only=False)
             ids, comp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            unit = _matrix(batch.column(3))
             for p, rows in queries.items():
                 at = np.flatnonzero(part == p)
                 if len(at):
-                    linked = (unit[at] @ np.array([r[2] for r in rows]).T >= least) & (ids[at][:, None] != np.array([r[0] for r in rows])[None, :])
+                    linked = (_matrix(batch.column(3).take(pa.array(at))) @ np.array([r[2] for r in rows]).T >= least) & (ids[at][:, None] != np.array([r[0] for r in rows])[None, :])
                     true += int(linked.sum())
                     found += int((linked & (comp[at][:, None] == np.array([r[1] for r in rows])[None, :])).sum())
         yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
