@@ -30,6 +30,7 @@ def lifecycle(config: Column) -> Column:
 
 def activation_reasons(slug: Column, registered: Column, life: Column) -> Column:
     """Array of reasons against activation; empty means the source can be activated."""
+    # The texts of the reasons.
     quoted = F.concat(F.lit('"'), life["status"], F.lit('"'))
     blocked = F.concat(
         F.lit("Source lifecycle status "),

@@ -92,6 +92,9 @@ def round_half_up(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("double")
 
 
+# The patterns of the following functions are fixed values: they decide which texts have a number.
+
+
 def area_from_text(c: Column) -> Column:
     return spaced_number(regex_first(c, r"(?iu)(\d[\d\s.,]*)\s*m(?:²|2|&sup2;)"))
 

@@ -148,6 +148,7 @@ def strip_title_suffix(c: Column, site: str) -> Column:
 
 def origin_name(c: Column) -> Column:
     """Name after 'Quelle:'."""
+    # Fixed value: the characters of a name.
     return clean_text(regex_first(c, r"Quelle:\s*([\p{L}\p{N} ._-]+)"))
 
 

@@ -91,7 +91,7 @@ def is_rent_search_url(c: Column) -> Column:
     return ~path.contains("kaufen") & path.rlike("mieten|wohnung|wohnungen")
 
 
-# External ids by URL shape: name → ordered patterns, group 1 is the id.
+# External ids by URL shape, name → ordered patterns, group 1 is the id.
 ID_PATTERNS = {
     "expose": [r"(?iu)/expose/([^/?#]+)/?(?:[?#].*)?$", r"/immobilien/[^/?#]*-([A-Za-z0-9]+)/?(?:[?#].*)?$"],
     "detail": [r"(?iu)/immobilien/detail/([^/?#]+)"],

@@ -40,6 +40,9 @@ def _allowed_values() -> Column:
     return F.coalesce(*[strings(p) for p in paths])
 
 
+# The issue texts of the following functions are fixed values.
+
+
 def _issue(field: Column, text) -> Column:
     return F.struct(field.alias("field"), (F.lit(text) if isinstance(text, str) else text).alias("issue"))
 

@@ -13,6 +13,7 @@ from dwellmatch.functions.text import normalize_identity
 from dwellmatch.functions.urls import looks_like_url
 from dwellmatch.schema import BBOX, DEAL_TYPES, RANGES, STATES
 
+# Field names in issues; the issue texts below are fixed values as well.
 ISSUE_NAMES = {
     "source_slug": "sourceSlug",
     "external_id": "externalId",
