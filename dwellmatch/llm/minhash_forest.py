@@ -8,20 +8,25 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from dwellmatch.llm.common import Shelf, components, map_texts, mix64, worker_store
+from dwellmatch.llm.common import Shelf, map_texts, merged, mix64, worker_store
 
-TREES, DEPTH = 16, 8
+TREES, DEPTH = 12, 8
 #: Shortest common prefix that makes a candidate. Two sets of similarity 0.8 share it in a given
-#: order with probability 0.51, and in none of the 16 with 0.00001.
+#: order with probability 0.51, and in none of the 12 with 0.0002.
 LEAST_DEPTH = 3
-#: Rows before it in an order that a row is compared with: its longest common prefixes.
-NEIGHBOURS = 3
+#: Rows before it in an order that a row is compared with: its longest common prefixes. At first a
+#: group of copies is still many rows, later it is one, and more neighbours cost little.
+AT_FIRST, LATER = 1, 3
+#: Times that candidates are looked for, each time with components as groups.
+TURNS = 2
+#: Members of a component that documents beside it are compared with.
+HUBS = 3
 #: Words whose hashes a worker keeps.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 200_000
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 17
 
@@ -93,13 +98,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return map_texts(docs, id_col, text_col, "shingles array<long>", work)
 
 
-def _pairs_in_order(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, group: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, common prefix) of rows at most NEIGHBOURS apart, in the same tree and of different groups.
+def _pairs_in_order(near: int, tree: np.ndarray, key: np.ndarray, ids: np.ndarray, group: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, common prefix) of rows at most ``near`` apart, in the same tree and of different groups.
 
     The last ``fresh`` rows have not been compared with those before them yet.
     """
     n = len(ids)
-    for lag in range(1, NEIGHBOURS + 1):
+    for lag in range(1, near + 1):
         low = max(n - fresh, lag)
         if low >= n:
             continue
@@ -109,11 +114,11 @@ def _pairs_in_order(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, group: n
         yield ids[now][hit], ids[then][hit], common[hit]
 
 
-def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str, near: int) -> DataFrame:
     """Candidate pairs (a, b, depth) from rows (tree, key, id, group): neighbours in each tree's order.
 
     The orders are range-partitioned on (tree, key, id), so a crowded region is spread over tasks,
-    and tasks stream through their rows. A row meets the NEIGHBOURS rows before it: where a region
+    and tasks stream through their rows. A row meets the ``near`` rows before it: where a region
     is crowded, these are the ones with the longest common prefixes, which is how the depth adapts.
     The outer rows of each partition are compared across its borders in a second, small step.
     Neighbouring rows of one group (documents known to be linked) count as one: only the ends of
@@ -151,12 +156,12 @@ def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str) -> DataFrame:
             got = frame(batch, 0)
             got = [x[ends_of_runs(got)] for x in got]
             fresh = len(got[2])
-            head = got if head is None else head if len(head[2]) >= NEIGHBOURS else [np.concatenate(x) for x in zip(head, got)]
-            head = [x[:NEIGHBOURS] for x in head]
+            head = got if head is None else head if len(head[2]) >= near else [np.concatenate(x) for x in zip(head, got)]
+            head = [x[:near] for x in head]
             held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
-            for a, b, depth in _pairs_in_order(*held, fresh):
+            for a, b, depth in _pairs_in_order(near, *held, fresh):
                 yield batch_of(None, pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(a), pa.array(b), pa.array(depth.astype(np.int32)))
-            held = [x[-NEIGHBOURS:] for x in held]
+            held = [x[-near:] for x in held]
         for border, rows_ in ((part, head), (part + 1, held)):
             if rows_ is not None:
                 tree, keys, ids, group = rows_
@@ -181,7 +186,7 @@ def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str) -> DataFrame:
                 else:
                     fresh = len(now[2])
                 held, border = now, borders[at]
-                for a, b, depth in _pairs_in_order(*now, fresh):
+                for a, b, depth in _pairs_in_order(near, *now, fresh):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth.astype(np.int32))], names=["a", "b", "depth"])
 
     edges = found.where("border is not null").repartition(F.col("border")).sortWithinPartitions("border", "tree", "key", "a")
@@ -197,14 +202,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` hundredths or more, checked on the full sets. ``component_id`` is the smallest id
     reachable over links, ``kept`` tells whether that is the document itself.
 
-    1. One pass makes signatures of 16 x 8 minima and a digest of each set; documents with equal
+    1. One pass makes signatures of 12 x 8 minima and a digest of each set; documents with equal
        sets form a class, which the smallest id stands for, so copies cost no comparisons.
-    2. Classes are sorted once for each of the 16 trees; neighbours with a common prefix of
+    2. Classes are sorted once for each of the 12 trees; neighbours with a common prefix of
        3 or more are candidates (``sorted_neighbours``).
-    3. Each class first checks its best candidate on full sets. A candidate pair that already lies
-       in one component needs no check; the others are checked until none is left that joins two.
+    3. Each class first checks its best candidate on full sets. A candidate pair that now lies in
+       one component needs no check; all others are checked then.
     4. Components then count as groups in the sorted orders, which brings documents together that
-       members of a large group stood between; this ends when it links nothing new.
+       members of a large group stood between, and each one next to a component with its hubs; these
+       pairs are checked as in 3.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null id takes part
     in no link, its component is null and it is kept. Repeated rows each get their row, judged by
@@ -214,13 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shelf = Shelf(spark, "minhash-forest")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = shelf.put(sign(source, "id", "text", words), "signed")
-    classes = signed.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
+    classes = signed.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     classes = shelf.put(classes, "classes")
     width = DEPTH * 4
     trees = F.posexplode(F.array(*[F.substring("signature", t * width + 1, width) for t in range(TREES)])).alias("tree", "key")
     planted = classes.select(F.col("rep").alias("id"), trees)
 
-    fresh = shelf.put(sorted_neighbours(planted.withColumn("group", F.col("id")), shelf, "order-0"), "pairs-0")
+    fresh = shelf.put(sorted_neighbours(planted.withColumn("group", F.col("id")), shelf, "order-0", AT_FIRST), "pairs-0")
     involved = fresh.select(F.col("a").alias("id")).unionByName(fresh.select(F.col("b").alias("id"))).distinct()
     involved = shelf.put(involved, "involved")
     # The id's smallest text stands for it, should ids repeat with different texts.
@@ -228,28 +234,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shelf.put(shingle_sets(wanted, "id", "text", words), "sets").join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id").where(F.size("shingles") == F.col("n_shingles")).select("id", "shingles").dropDuplicates(["id"])
     sets = shelf.put(sets, "sets-of-classes")
 
-    links, component, k = None, None, 0
+    component, k = None, 0
     while True:
-        open_pairs = fresh
-        while True:
-            ends = open_pairs.select(F.col("a").alias("id"), "a", "b", "depth").unionByName(open_pairs.select(F.col("b").alias("id"), "a", "b", "depth"))
-            best = ends.groupBy("id").agg(F.max(F.struct("depth", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-            checked = shelf.put(_linked(best, sets, percent), f"checked-{k}")
-            good = checked.where("linked").select("a", "b")
-            links = good if links is None else links.unionByName(good)
-            component = shelf.put(components(shelf, links), f"component-{k}")
-            left = open_pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            left = shelf.put(_apart(left, component), f"open-{k}")
-            k += 1
-            open_pairs = left
-            if left.isEmpty():
-                break
-        if component.isEmpty():
+        ends = fresh.select(F.col("a").alias("id"), "a", "b", "depth").unionByName(fresh.select(F.col("b").alias("id"), "a", "b", "depth"))
+        best = ends.groupBy("id").agg(F.max(F.struct("depth", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+        checked = shelf.put(_linked(best, sets, percent), f"checked/k={2 * k}")
+        component = merged(shelf, component, checked.where("linked"), f"component-{2 * k}")
+        left = shelf.put(_apart(fresh.join(checked, ["a", "b"], "left_anti"), component).select("a", "b", "depth"), f"left-{k}")
+        checked = shelf.put(_linked(left, sets, percent), f"checked/k={2 * k + 1}")
+        component = merged(shelf, component, checked.where("linked"), f"component-{2 * k + 1}")
+        k += 1
+        if k == TURNS or component.isEmpty():
             break
         grouped = planted.join(involved, "id", "left_semi").join(component, "id", "left").select("tree", "key", "id", F.coalesce("component", "id").alias("group"))
-        again = sorted_neighbours(grouped, shelf, f"order-{k}")
-        seen = shelf.spark.read.parquet(*[f"{shelf.root}/checked-{i}" for i in range(k)]).select("a", "b")
-        fresh = shelf.put(_apart(again.join(seen, ["a", "b"], "left_anti"), component), f"pairs-{k}")
+        seen = spark.read.schema(checked.schema).parquet(*[f"{shelf.root}/checked/k={i}" for i in range(2 * k)])
+        again = _apart(sorted_neighbours(grouped, shelf, f"order-{k}", LATER), component)
+        again = _with_hubs(again, component, classes, seen.where("linked"))
+        fresh = shelf.put(again.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
         if fresh.isEmpty():
             break
 
@@ -271,4 +272,17 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(component.select(F.col("id").alias(side), F.col("component").alias(f"group_{side}")), side, "left")
-    return sides.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b", "depth")
+    return sides.withColumns({"group_a": F.coalesce("group_a", "a"), "group_b": F.coalesce("group_b", "b")}).where("group_a <> group_b")
+
+
+def _with_hubs(pairs: DataFrame, component: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of different components, and each document with the hubs of the component it stands next to:
+    the members with most copies and links, which an outer member is most likely to resemble."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.col("copies") + F.col("degree")), "id"))
+    members = component.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(degree, "id").withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    hubs = members.groupBy("component").agg(F.collect_list("id").alias("hubs"))
+    sides = pairs.select("a", "group_b").withColumnsRenamed({"a": "id", "group_b": "component"}).unionByName(pairs.select("b", "group_a").withColumnsRenamed({"b": "id", "group_a": "component"}))
+    beside = sides.distinct().join(hubs, "component").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    beside = beside.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.lit(0).cast("long").alias("depth"))
+    return pairs.select("a", "b", "depth").unionByName(beside).groupBy("a", "b").agg(F.max("depth").alias("depth"))
