@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellmatch.llm.common import map_texts
+from dwellmatch.llm.common import map_texts, with_made
 
 ORDER = 3
 UNKNOWN = "und"
@@ -164,6 +164,18 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
     0 and no bits. One pass without a shuffle; the model is broadcast and its size is bounded by
     parameters of ``fit``. Repeated rows each get their row; an empty table gives no rows.
     """
+    return map_texts(docs, id_col, text_col, MADE, _worker(docs, model))
+
+
+MADE = "lang_pred string, score double, bits_per_byte double"
+
+
+def with_language(docs: DataFrame, model: PpmModel, text_col: str = "text", made: str = "_language") -> DataFrame:
+    """All columns of ``docs``, and what ``identify`` says as a struct column ``made``."""
+    return with_made(docs, text_col, made, MADE, _worker(docs, model))
+
+
+def _worker(docs: DataFrame, model: PpmModel) -> Callable[[list], dict[str, list]]:
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.symbol, model.state, model.bits))
 
     def work(texts: list[str | None]) -> dict[str, list]:
@@ -183,4 +195,4 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
             cols["bits_per_byte"].append(per_byte)
         return cols
 
-    return map_texts(docs, id_col, text_col, "lang_pred string, score double, bits_per_byte double", work)
+    return work

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from dwellmatch.llm.common import Shelf, mix64
+from dwellmatch.llm.common import Shelf, mix64, slices
 from dwellmatch.llm.suffix_groups import suffix_array
 from dwellmatch.llm.url_filter import possible
 
@@ -166,7 +166,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, chosen = RollingHash(1), RollingHash(2)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for names, offsets, data, ends in _pieces(texts, length):
                 got = anchors(data, ends, length, rolling, chosen)
@@ -191,7 +191,7 @@ def _step_rows(docs: DataFrame, length: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: dict[str, list] = {f.name: [] for f in schema}
             for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -392,7 +392,7 @@ def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool) -> Dat
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in fields]
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 kept, spans, n = cut(text, marks, length)
