@@ -217,7 +217,7 @@ class Encoder:
 
 
 #: Characters of text that are encoded together: the body of words of one replay.
-BODY_CHARS = 4_000_000
+BODY_CHARS = 1_000_000
 
 
 def _bodies(texts: list[str | None]) -> Iterable[list[str]]:

@@ -53,7 +53,7 @@ def worker_store(name: str) -> dict:
 
 
 #: Rows that are Python objects at a time; an Arrow batch may have ten times as many.
-ROWS_AT_A_TIME = 1000
+ROWS_AT_A_TIME = 500
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ GRAM = 16
 #: Starts of strings that are told apart together: the bytes in which they can differ are few.
 STEP = 16
 #: Bytes hashed at a time; a longer text is taken in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Symbols of one suffix array, and strings of one class beyond which its windows are counted by Spark.
 BODY, CROWD = 1 << 16, 4096
 
