@@ -18,12 +18,10 @@ TREES, DEPTH = 12, 8
 #: Shortest common prefix that makes a candidate. Two sets of similarity 0.8 share it in a given
 #: order with probability 0.51, and in none of the 12 with 0.0002.
 LEAST_DEPTH = 3
-#: Rows before it in an order that a row is compared with: its longest common prefixes. At first a
-#: group of copies is still many rows, later it is one, and more neighbours cost little.
-AT_FIRST, LATER = 1, 3
-#: Times that candidates are looked for, each time with components as groups.
-TURNS = 2
-#: Members of a component that documents beside it are compared with.
+#: Rows before it in an order that a row is compared with: its longest common prefixes.
+NEAR = 3
+#: Members of a component that documents beside it are compared with, besides the member they stand
+#: next to and the one that this member is linked with.
 HUBS = 3
 #: Words whose hashes a worker keeps.
 KEEP_WORDS = 200_000
@@ -117,8 +115,9 @@ def _pairs_in_order(near: int, tree: np.ndarray, key: np.ndarray, ids: np.ndarra
 def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str, near: int) -> DataFrame:
     """Candidate pairs (a, b, depth) from rows (tree, key, id, group): neighbours in each tree's order.
 
-    The orders are range-partitioned on (tree, key, id), so a crowded region is spread over tasks,
-    and tasks stream through their rows. A row meets the ``near`` rows before it: where a region
+    The orders are range-partitioned on (tree, key, tie, id), so a crowded region is spread over tasks,
+    and tasks stream through their rows. ``tie`` holds minima of the next tree: rows of equal keys
+    stand by likeness, differently in each tree. A row meets the ``near`` rows before it: where a region
     is crowded, these are the ones with the longest common prefixes, which is how the depth adapts.
     The outer rows of each partition are compared across its borders in a second, small step.
     Neighbouring rows of one group (documents known to be linked) count as one: only the ends of
@@ -127,7 +126,8 @@ def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str, near: int) -> Da
     spark = rows.sparkSession
     id_field = rows.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("tree", "key", "id", "group").repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    order = ["tree", "key", "tie", "id"]
+    ordered = rows.select(*order, "group").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("tree", "key", "id", "group")
     schema = StructType([*StructType.fromDDL("border int, tree int, key binary"), StructField("a", id_field), StructField("b", id_field), *StructType.fromDDL("depth int")])
 
     def batch_of(border, tree, key, a, b, depth) -> pa.RecordBatch:
@@ -165,8 +165,8 @@ def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str, near: int) -> Da
         for border, rows_ in ((part, head), (part + 1, held)):
             if rows_ is not None:
                 tree, keys, ids, group = rows_
-                side = np.full(len(ids), border - part, np.int32)
-                yield batch_of(border, pa.array(tree.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids), pa.array(group), pa.array(side))
+                place = np.arange(len(ids), dtype=np.int32) + (near if border == part else 0)
+                yield batch_of(border, pa.array(tree.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids), pa.array(group), pa.array(place))
 
     found = shelf.put(ordered.mapInArrow(walk, schema), name)
 
@@ -189,7 +189,7 @@ def sorted_neighbours(rows: DataFrame, shelf: Shelf, name: str, near: int) -> Da
                 for a, b, depth in _pairs_in_order(near, *now, fresh):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth.astype(np.int32))], names=["a", "b", "depth"])
 
-    edges = found.where("border is not null").repartition(F.col("border")).sortWithinPartitions("border", "tree", "key", "a")
+    edges = found.where("border is not null").repartition(F.col("border")).sortWithinPartitions("border", "depth")
     across = edges.select("border", "tree", "key", "a", "b").mapInArrow(meet, StructType(list(schema)[3:]))
     pairs = found.where("border is null").select("a", "b", "depth").unionByName(across)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth").where("a <> b").groupBy("a", "b").agg(F.sum("depth").alias("depth"))
@@ -205,12 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass makes signatures of 12 x 8 minima and a digest of each set; documents with equal
        sets form a class, which the smallest id stands for, so copies cost no comparisons.
     2. Classes are sorted once for each of the 12 trees; neighbours with a common prefix of
-       3 or more are candidates (``sorted_neighbours``).
+       3 or more are candidates (``sorted_neighbours``): 3 rows on either side.
     3. Each class first checks its best candidate on full sets. A candidate pair that now lies in
        one component needs no check; all others are checked then.
     4. Components then count as groups in the sorted orders, which brings documents together that
-       members of a large group stood between, and each one next to a component with its hubs; these
-       pairs are checked as in 3.
+       members of a large group stood between, and each one next to a component with its hubs and
+       with what its neighbour there is linked with; these pairs are checked as in 3. This is done
+       until it links nothing more; from the third turn on, only where components grew.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null id takes part
     in no link, its component is null and it is kept. Repeated rows each get their row, judged by
@@ -223,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     classes = shelf.put(classes, "classes")
     width = DEPTH * 4
-    trees = F.posexplode(F.array(*[F.substring("signature", t * width + 1, width) for t in range(TREES)])).alias("tree", "key")
-    planted = classes.select(F.col("rep").alias("id"), trees)
+    keys = [F.struct(F.substring("signature", t * width + 1, width).alias("key"), F.substring("signature", (t + 1) % TREES * width + 1, 8).alias("tie")) for t in range(TREES)]
+    planted = classes.select(F.col("rep").alias("id"), F.posexplode(F.array(*keys)).alias("tree", "at")).select("id", "tree", "at.key", "at.tie")
 
-    fresh = shelf.put(sorted_neighbours(planted.withColumn("group", F.col("id")), shelf, "order-0", AT_FIRST), "pairs-0")
+    fresh = shelf.put(sorted_neighbours(planted.withColumn("group", F.col("id")), shelf, "order-0", NEAR), "pairs-0")
+    shelf.drop("order-0")
     involved = fresh.select(F.col("a").alias("id")).unionByName(fresh.select(F.col("b").alias("id"))).distinct()
     involved = shelf.put(involved, "involved")
     # The id's smallest text stands for it, should ids repeat with different texts.
@@ -236,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component, k = None, 0
     while True:
+        before = component
         ends = fresh.select(F.col("a").alias("id"), "a", "b", "depth").unionByName(fresh.select(F.col("b").alias("id"), "a", "b", "depth"))
         best = ends.groupBy("id").agg(F.max(F.struct("depth", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         checked = shelf.put(_linked(best, sets, percent), f"checked/k={2 * k}")
@@ -243,14 +246,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = shelf.put(_apart(fresh.join(checked, ["a", "b"], "left_anti"), component).select("a", "b", "depth"), f"left-{k}")
         checked = shelf.put(_linked(left, sets, percent), f"checked/k={2 * k + 1}")
         component = merged(shelf, component, checked.where("linked"), f"component-{2 * k + 1}")
+        for name in (f"pairs-{k}", f"left-{k}"):
+            shelf.drop(name)
         k += 1
-        if k == TURNS or component.isEmpty():
+        if component is before or component.isEmpty():
             break
-        grouped = planted.join(involved, "id", "left_semi").join(component, "id", "left").select("tree", "key", "id", F.coalesce("component", "id").alias("group"))
+        grouped = planted.join(involved, "id", "left_semi").join(component, "id", "left").select("tree", "key", "tie", "id", F.coalesce("component", "id").alias("group"))
+        if before is not None:
+            grouped = _where_grown(grouped, component, before)
         seen = spark.read.schema(checked.schema).parquet(*[f"{shelf.root}/checked/k={i}" for i in range(2 * k)])
-        again = _apart(sorted_neighbours(grouped, shelf, f"order-{k}", LATER), component)
+        again = _apart(sorted_neighbours(grouped, shelf, f"order-{k}", NEAR), component)
         again = _with_hubs(again, component, classes, seen.where("linked"))
         fresh = shelf.put(again.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
+        shelf.drop(f"order-{k}")
         if fresh.isEmpty():
             break
 
@@ -275,14 +283,28 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return sides.withColumns({"group_a": F.coalesce("group_a", "a"), "group_b": F.coalesce("group_b", "b")}).where("group_a <> group_b")
 
 
+def _where_grown(rows: DataFrame, component: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows that share the shortest prefix with a row of a component that grew: where none did, the rows
+    in between are as before, and so are the neighbours."""
+    was = before.select("id", F.col("component").alias("was"))
+    grown = component.join(was, "id", "left").where("was is null or was <> component").select(F.col("component").alias("group")).distinct()
+    bucket = F.substring("key", 1, LEAST_DEPTH * 4)
+    rows = rows.withColumn("bucket", bucket)
+    return rows.join(rows.join(grown, "group", "left_semi").select("tree", "bucket").distinct(), ["tree", "bucket"], "left_semi").drop("bucket")
+
+
 def _with_hubs(pairs: DataFrame, component: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different components, and each document with the hubs of the component it stands next to:
-    the members with most copies and links, which an outer member is most likely to resemble."""
+    """Pairs of different components, and each document with the hubs of the component it stands next to
+    (the members with most copies and links, which an outer member is most likely to resemble), and with
+    that one of most links which the member next to it is linked with."""
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.col("copies") + F.col("degree")), "id"))
     members = component.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(degree, "id").withColumn("rank", rank).where(F.col("rank") <= HUBS)
     hubs = members.groupBy("component").agg(F.collect_list("id").alias("hubs"))
-    sides = pairs.select("a", "group_b").withColumnsRenamed({"a": "id", "group_b": "component"}).unionByName(pairs.select("b", "group_a").withColumnsRenamed({"b": "id", "group_a": "component"}))
-    beside = sides.distinct().join(hubs, "component").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    sides = pairs.select(F.col("a").alias("id"), F.col("b").alias("member"), F.col("group_b").alias("component")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("member"), F.col("group_a").alias("component")))
+    ends = links.select(F.col("a").alias("member"), F.col("b").alias("id")).unionByName(links.select(F.col("b").alias("member"), F.col("a").alias("id")))
+    centre = ends.join(degree, "id").groupBy("member").agg(F.max(F.struct("degree", "id")).alias("top")).select("member", F.col("top.id").alias("hub"))
+    beside = sides.select("id", "component").distinct().join(hubs, "component").select("id", F.explode("hubs").alias("hub"))
+    beside = beside.unionByName(sides.select("id", "member").join(centre, "member").select("id", "hub")).where("id <> hub")
     beside = beside.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.lit(0).cast("long").alias("depth"))
     return pairs.select("a", "b", "depth").unionByName(beside).groupBy("a", "b").agg(F.max("depth").alias("depth"))

@@ -77,6 +77,23 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert minhash_forest.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_copies_that_resemble_only_their_original(spark):
+    """A star: each copy is linked with the original, and no copy with another."""
+    rnd = random.Random(17)
+    original = prose(rnd, 250).split()
+    rows = [(5000, " ".join(original))]
+    for k in range(1200):
+        text = list(original)
+        for part in range(5):
+            text[50 * part + rnd.randrange(5, 45)] = f"w{k}x{part}"
+        rows.append((1000 + k, " ".join(text)))
+    sets = {i: _shingles(t, 5) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(5000, i) >= 0.8 for i in sets) and not any(alike(1000, i) >= 0.8 for i in sets if i not in (1000, 5000))
+    got = minhash_forest.near_duplicates(docs(spark, rows)).collect()
+    assert {r.component_id for r in got} == {1000} and [r.doc_id for r in got if r.kept] == [1000]
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(8)
     for _ in range(1500):
