@@ -197,6 +197,16 @@ def test_benchmark_items_are_found(spark, monkeypatch):
     assert latent_decontam.contaminated(docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_items_that_many_documents_hold(spark):
+    rnd = random.Random(18)
+    hot, rare = f"{prose(rnd, 30)}. {prose(rnd, 8)}.", f"{prose(rnd, 30)}. {prose(rnd, 8)}."
+    bench = spark.createDataFrame([(1, hot), (2, rare)], "item_id long, text string")
+    for n, every in ((150, 3), (5, 2)):
+        rows = [(k, " ".join([prose(rnd, 60), *[hot] * (k % every == 0), *[rare] * (k == 1), prose(rnd, 60)])) for k in range(n)]
+        got = latent_decontam.contaminated(docs(spark, rows), bench).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(k, 1) for k in range(0, n, every)] + [(1, 2)])
+
+
 def test_alignment_weighs_words():
     weights = np.array([1.0, 2.0, 5.0])
     item = np.array([0, 1, 2, 1])
