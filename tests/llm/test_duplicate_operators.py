@@ -207,6 +207,17 @@ def test_items_that_many_documents_hold(spark):
         assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(k, 1) for k in range(0, n, every)] + [(1, 2)])
 
 
+def test_short_items_of_a_long_benchmark(spark):
+    rnd = random.Random(19)
+    items = [(k, prose(rnd, rnd.randrange(15, 61))) for k in range(600)]
+    spelt = lambda n: " ".join(rnd.choice(items)[1].split()[0] for _ in range(n))
+    rows = [(k, f"{spelt(70)} {text} {spelt(70)}") for k, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = latent_decontam.contaminated(docs(spark, rows), bench).collect()
+    assert {(k, k) for k, _ in items} <= {(r.doc_id, r.item_id) for r in got}
+    assert all(len(b.queries) <= 100 or len(b.items) == 1 for b in latent_decontam.blocks_of([*items, (900, prose(rnd, 9000))], 100))
+
+
 def test_alignment_weighs_words():
     weights = np.array([1.0, 2.0, 5.0])
     item = np.array([0, 1, 2, 1])
