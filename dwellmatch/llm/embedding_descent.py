@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellmatch.llm.common import Shelf, components
+from dwellmatch.llm.common import Shelf, components, merged
 
 #: Orders of the first lists, rows of an order compared together, bits of its keys.
 ORDERS, RUN, BITS = 8, 256, 24
@@ -17,8 +17,8 @@ ORDERS, RUN, BITS = 8, 256, 24
 NEIGHBOURS, ROUNDS = 8, 4
 #: A round that changes fewer than this share of the entries is the last one.
 SETTLED = 0.01
-#: Vectors of a component that are compared block by block.
-BLOCK = 512
+#: Vectors of a component that are compared block by block; of a label, if lists are full of links.
+BLOCK, WIDE = 512, 2048
 #: Vectors whose links are counted by brute force, and the share that must be found.
 AUDITED, RECALL = 256, 0.98
 
@@ -173,8 +173,54 @@ def _counted(nodes: DataFrame, component: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_ddl}, near long").groupBy("id").agg(F.sum("near").alias("near"))
 
 
+def _settled(nodes: DataFrame, component: DataFrame, full: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components, as a forest per task, of the vectors ``full`` (id) with all of their part.
+
+    Each block of such vectors is compared with each block of the part; tasks hold two blocks.
+    """
+    id_ddl = nodes.schema["id"].dataType.simpleString()
+    placed = nodes.join(component, "id", "left").select("id", "part", F.coalesce("component", "id").alias("component"), "unit")
+    some = placed.join(full, "id", "left_semi")
+    blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count("*") / WIDE).cast("int").alias(name))
+    sizes = blocks(some, "rows").join(blocks(placed, "cols"), "part")
+    own = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = some.join(sizes, "part").withColumn("i", own("rows")).withColumn("j", each("cols")).withColumn("side", F.lit(0))
+    right = placed.join(sizes, "part").withColumn("j", own("cols")).withColumn("i", each("rows")).withColumn("side", F.lit(1))
+    cols = ["part", "i", "j", "side", "component", "unit"]
+    rows = left.select(cols).unionByName(right.select(cols)).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, side, comp, unit in _groups(batches, 3):
+            kinds, code = np.unique(comp, return_inverse=True)
+            here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            parent = list(range(len(kinds)))
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            a, b = [], []
+            for at in range(0, len(here), 256):
+                now = here[at : at + 256]
+                hit = (unit[now] @ unit[there].T >= least) & (code[now][:, None] != code[there][None, :])
+                r, c = np.nonzero(hit)
+                for pair in np.unique(code[now][r] * len(kinds) + code[there][c]).tolist():
+                    x, y = root(pair // len(kinds)), root(pair % len(kinds))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        a.append(pair // len(kinds))
+                        b.append(pair % len(kinds))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[x]) for x in (a, b)], names=["a", "b"])
+
+    return rows.mapInArrow(run, f"a {id_ddl}, b {id_ddl}")
+
+
 def audit(nodes: DataFrame, component: DataFrame, least: float) -> float:
-    """Share of the links of ``AUDITED`` vectors (drawn by a hash) that lie within components.
+    """Share of a vector's links that lie within its component, the mean over those of ``AUDITED`` vectors
+    (drawn by a hash) that have links, so that vectors of many links count no more than others.
 
     Their vectors, a bounded number, are compared with all others by brute force.
     """
@@ -187,7 +233,8 @@ def audit(nodes: DataFrame, component: DataFrame, least: float) -> float:
         queries.setdefault(r.part, []).append((r.id, r.component, r.unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = found = 0
+        true = {r.id: 0 for r in drawn}
+        found = dict(true)
         for batch in batches:
             part = batch.column(1).to_numpy(zero_copy_only=False)
             ids, comp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
@@ -195,12 +242,14 @@ def audit(nodes: DataFrame, component: DataFrame, least: float) -> float:
                 at = np.flatnonzero(part == p)
                 if len(at):
                     linked = (_matrix(batch.column(3).take(pa.array(at))) @ np.array([r[2] for r in rows]).T >= least) & (ids[at][:, None] != np.array([r[0] for r in rows])[None, :])
-                    true += int(linked.sum())
-                    found += int((linked & (comp[at][:, None] == np.array([r[1] for r in rows])[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
+                    within = linked & (comp[at][:, None] == np.array([r[1] for r in rows])[None, :])
+                    for r, n, m in zip(rows, linked.sum(axis=0).tolist(), within.sum(axis=0).tolist()):
+                        true[r[0]] += n
+                        found[r[0]] += m
+        yield pa.RecordBatch.from_arrays([pa.array(list(x.values()), pa.int64()) for x in (true, found)] + [pa.array(np.arange(len(true)))], names=["true", "found", "number"])
 
-    total = placed.mapInArrow(run, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return 1.0 if not total[0] else total[1] / total[0]
+    sums = placed.mapInArrow(run, "true long, found long, number long").groupBy("number").agg(F.sum("true").alias("true"), F.sum("found").alias("found"))
+    return sums.where(F.col("true") > 0).agg(F.coalesce(F.avg(F.col("found") / F.col("true")), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
@@ -211,10 +260,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     3. NN-descent: the neighbours and reverse neighbours of each vector are compared with one
        another, which improves their lists, until a round changes hardly anything.
     4. Entries of at least ``least`` are links; their components are formed. A list that is full of
-       links is too short, so lists are enlarged to whole components: members are compared block by
-       block, and links are counted where they are found, not written out.
-    5. An audit compares 256 vectors with all by brute force. Below a recall of 0.98 the lists are
-       doubled, with more orders, and refined again (three times at most).
+       links is too short: its vector is compared with all of its label, block by block, for links to
+       other components (``_settled``). Then members of a component are compared block by block, and
+       links are counted where they are found, not written out.
+    5. An audit compares 256 vectors with all by brute force. Below a mean recall of 0.98 the lists are
+       doubled, with more orders, and refined again; if the third time misses it, all vectors are
+       compared with their label as in 4.
 
     ``n_links`` counts other rows, copies included. Null, empty and zero vectors, vectors with null
     or non-finite components, null labels and null ids link with nothing (a null id has a null
@@ -251,9 +302,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 break
         links = lists.where(F.col("sim") >= least).select(F.col("u").alias("a"), F.col("v").alias("b"))
         component = shelf.put(components(shelf, links), f"component-{attempt}")
+        full = shelf.put(lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).where((F.col("n") >= k) & (F.col("low") >= least)).select(F.col("u").alias("id")), f"full-{attempt}")
+        if not full.isEmpty():
+            component = merged(shelf, component, shelf.put(_settled(nodes, component, full, least), f"settled-{attempt}"), f"component-{attempt}-settled")
         if audit(nodes, component, least) >= RECALL:
             break
         k, orders = 2 * k, orders + ORDERS
+    else:
+        component = merged(shelf, component, shelf.put(_settled(nodes, component, nodes.select("id"), least), "settled"), "component-settled")
 
     near = _counted(nodes, component, least)
     found = nodes.select("part", "a", "b", "copies", "id").join(component, "id", "left").join(near, "id", "left")

@@ -173,6 +173,24 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_descent.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_between_groups_larger_than_their_lists(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    x = np.zeros((300, 16))
+    x[:240, :2] = np.repeat([[1, 0], [0.94, np.sqrt(1 - 0.94**2)]], [120, 120], axis=0)
+    x[240:] = rng.standard_normal((60, 16))
+    x[:240] += 0.002 * rng.standard_normal((240, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    want = reachable(range(300), list(zip(*np.nonzero(linked))))
+    assert want[200] == 0 and linked[:120, 120:240].any() and (x @ x.T)[:120, 120:240].max() < (x @ x.T)[:120, :120].min()
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for wide in (2048, 50):
+        monkeypatch.setattr(embedding_descent, "WIDE", wide)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_descent.near_duplicates(df).collect()}
+        assert got == {k: (linked[k].sum(), want[k]) for k in range(300)}
+
+
 def test_benchmark_items_are_found(spark, monkeypatch):
     rnd = random.Random(11)
     items = [(k, f"{prose(rnd, rnd.randrange(12, 40))}. {prose(rnd, 8)}.") for k in range(25)] + [(90, None), (91, ""), (92, prose(rnd, 150))]
