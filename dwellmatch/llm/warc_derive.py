@@ -76,16 +76,23 @@ def plain_text(page: str) -> tuple[str, str | None, list[str]]:
     return "\n".join(line for line in lines if line), title, hrefs
 
 
-def read_http(block: bytes | None) -> tuple[str | None, dict[str, str], bytes]:
-    """(status line, headers, payload) of an HTTP response; no status line if it isn't one."""
+def read_http(block: bytes | None) -> tuple[str | None, list[tuple[str, str]], bytes]:
+    """(status line, headers in order, payload) of an HTTP response; no status line if it isn't one.
+
+    A header may stand several times; folded lines belong to the one before them.
+    """
     head, found, payload = (block or b"").partition(b"\r\n\r\n")
     if not found or not head.startswith(b"HTTP/"):
-        return None, {}, block or b""
+        return None, [], block or b""
     status, *lines = head.decode("latin-1").split("\r\n")
-    headers: dict[str, str] = {}
+    headers: list[tuple[str, str]] = []
     for line in lines:
-        name, _, value = line.partition(":")
-        headers.setdefault(name.strip().lower(), value.strip())
+        if line[:1] in (" ", "\t") and headers:
+            name, value = headers.pop()
+            headers.append((name, f"{value} {line.strip()}".strip()))
+        else:
+            name, _, value = line.partition(":")
+            headers.append((name.strip().lower(), value.strip()))
     return status, headers, payload
 
 
@@ -124,12 +131,13 @@ def derive(record: str | None, uri: str | None, date: str | None, block: bytes |
     """The metadata record and, if the response is text or HTML, the conversion record."""
     status, headers, payload = read_http(block)
     source = {"record_id": record or record_id("response", uri or "", digest(block or b"")), "uri": uri or "", "date": date or "", "block_digest": digest(block or b""), "payload_digest": digest(payload)}
-    kind = headers.get("content-type", "text/html").split(";")[0].strip().lower()
+    content_type = next((v for k, v in headers if k == "content-type"), None)
+    kind = ("text/html" if content_type is None else content_type).split(";")[0].strip().lower()
     own, text_id = record_id(source["record_id"], "metadata"), record_id(source["record_id"], "conversion")
-    fields = [("source-status", status or ""), *((f"source-{k}", v) for k, v in headers.items()), ("source-block-digest", source["block_digest"]), ("source-payload-digest", source["payload_digest"])]
+    fields = [("source-status", status or ""), *((f"source-{k}", v) for k, v in headers), ("source-block-digest", source["block_digest"]), ("source-payload-digest", source["payload_digest"])]
     out = []
     if kind in ("text/html", "application/xhtml+xml", "text/plain"):
-        body = _decoded(payload, headers.get("content-type", ""))
+        body = _decoded(payload, content_type or "")
         text, title, hrefs = (body, None, []) if kind == "text/plain" else plain_text(body)
         out.append(_record("conversion", text_id, source, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Concurrent-To", own), ("WARC-Source-Payload-Digest", source["payload_digest"])]))
         fields += [("title", title or "")]

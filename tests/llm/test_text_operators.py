@@ -248,3 +248,11 @@ def test_derivatives_refer_to_their_source(spark):
     image = spark.createDataFrame([(1, None, "u", None, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nxx"), (2, None, None, None, None)], "page_id long, record_id string, uri string, date string, block binary")
     assert sorted(r.warc_type for r in warc_derive.derivatives(image).collect()) == ["conversion", "metadata", "metadata"]
     assert warc_derive.derivatives(sources.where("false")).count() == 0
+
+
+def test_repeated_and_folded_source_headers():
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/plain\r\nVia: x,\r\n\t y\r\nSet-Cookie: b=2\r\nContent-Type: image/png\r\n\r\nT"
+    made = warc_derive.derive("r", "http://h/", "d", head)
+    assert [m["warc_type"] for m in made] == ["metadata", "conversion"]
+    fields = [x for x in made[0]["block"].decode().split("\r\n") if x.startswith("source-")]
+    assert fields[1:6] == ["source-set-cookie: a=1", "source-content-type: text/plain", "source-via: x, y", "source-set-cookie: b=2", "source-content-type: image/png"]
