@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -280,6 +282,9 @@ def _crowded_masks(strings: DataFrame) -> DataFrame:
     return hits.groupBy("class_a", "class_b", "before", "after").agg(F.bit_or(bit).alias("mask"))
 
 
+_WORDS = re.compile(rb"\S+")
+
+
 def cut(text: str | None, marks: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]], int]:
     """What is left of a text, the spans taken out, and its bytes. A mark is (start, span, mask): strings
     start at each of ``span`` places from ``start``, or where ``mask`` has bits."""
@@ -304,10 +309,10 @@ def cut(text: str | None, marks: list[dict] | None, length: int) -> tuple[bytes,
     return b"".join(kept), spans, len(data)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, carry: list[str] | None = None, with_spans: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that starts at two or more places.
 
-    (id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, carried]); ``kept_text`` leaves out
+    (id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, spans][, carried]); ``kept_text`` leaves out
     characters that a cut has split, ``carried`` is a struct of the columns in ``carry``. Strings are judged on the input, within one document each.
 
     1. Each string has an anchor among its first places (250 for 400 bytes), chosen by content, so that equal
@@ -363,7 +368,65 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = _possible(whole, marks)
     hit = judged.where("possible").alias("d").join(marks.alias("s"), _same_text(), "left").select("d.id", "d.text", "s.marks", *(f"d.{c}" for c in more))
     rest = judged.where("not possible").select("id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"), *more)
-    return _cut_rows(rest.unionByName(hit), id_col, length, with_text)
+    return _cut_rows(rest.unionByName(hit), id_col, length, with_text, with_spans)
+
+
+def remove_passages(docs: DataFrame, words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove each passage of ``words`` words or more that stands at two or more places: (n_removed, kept_text, carried).
+
+    Passages are equal byte by byte; words stand between ASCII white space. ``words`` words have
+    2 * ``words`` - 1 bytes at least, so they lie within a span that ``remove_repeats`` finds with that
+    length; their windows of ``words`` words are counted there by 128-bit hashes.
+    """
+    shelf = Shelf(docs.sparkSession, "passages")
+    found = remove_repeats(docs, id_col, text_col, 2 * words - 1, carry=docs.columns, with_spans=True)
+    found = shelf.put(found.select("n_removed", "spans", "carried"), "spans")
+    text = F.col(f"carried.{text_col}").cast("string")
+    clear = found.where("n_removed = 0").select("n_removed", text.alias("kept_text"), "carried")
+    some = found.where("n_removed > 0").select(*source_columns(f"carried.{id_col}", f"carried.{text_col}"), "spans", "carried")
+
+    places = StructType([some.schema["id"], *StructType.fromDDL("version long, start long, stop long, code binary")])
+    arrow = to_arrow_schema(places)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for k, (text, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                data = text.encode("utf-8", "surrogatepass")
+                at = [m.span() for m in _WORDS.finditer(data)]
+                starts, stops = np.array([a for a, _ in at], np.int64), np.array([b for _, b in at], np.int64)
+                for span in spans:
+                    first, last = np.searchsorted(starts, span["start"]), np.searchsorted(stops, span["stop"], side="right")
+                    for w in range(int(first), int(last) - words + 1):
+                        a, b = at[w][0], at[w + words - 1][1]
+                        out.append((k, a, b, xxhash.xxh3_128_digest(data[a:b])))
+            if out:
+                rows, *cols = zip(*out)
+                whole = [batch.column(c).take(pa.array(rows, pa.int64())).cast(arrow.field(c).type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*whole, *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[2:])]], schema=arrow)
+
+    seen = shelf.put(some.select("id", "version", "text", "spans").mapInArrow(windows, places), "windows")
+    repeated = seen.groupBy("code").count().where("count > 1").select("code")
+    marks = shelf.put(seen.join(repeated, "code").groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("marks")), "marks")
+    hit = some.alias("d").join(marks.alias("s"), _same_text(), "left").select("d.text", "s.marks", "d.carried")
+    schema = StructType([*clear.schema.fields[:2], hit.schema["carried"]])
+    result = to_arrow_schema(schema)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            removed, kept = [], []
+            for text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = text.encode("utf-8", "surrogatepass")
+                parts, at = [], 0
+                for a, b in sorted((m["start"], m["stop"]) for m in marks or []):
+                    parts.append(data[at : max(at, a)])
+                    at = max(at, b)
+                rest = b"".join([*parts, data[at:]])
+                removed.append(len(data) - len(rest))
+                kept.append(rest.decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(removed, pa.int64()), pa.array(kept, result.field(1).type), batch.column(2).cast(result.field(2).type)], schema=result)
+
+    return clear.unionByName(hit.mapInArrow(without, schema))
 
 
 def source_columns(id_col: str, text_col: str) -> list[Column]:
@@ -386,8 +449,8 @@ def _only_possible(source: DataFrame, texts: DataFrame) -> DataFrame:
     return _possible(source, texts).where("possible").drop("possible")
 
 
-def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool) -> DataFrame:
-    fields = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool, with_spans: bool) -> DataFrame:
+    fields = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + ", spans array<struct<start: long, stop: long>>" * with_spans)
     schema = StructType([StructField(id_col, docs.schema["id"].dataType), *fields, *docs.schema.fields[3:]])
     arrow = to_arrow_schema(schema)
 
@@ -399,6 +462,8 @@ def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool) -> Dat
                 values = [n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
                 if with_text:
                     values.append(kept.decode("utf-8", "ignore"))
+                if with_spans:
+                    values.append([{"start": a, "stop": b} for a, b in spans])
                 for col, value in zip(cols, values):
                     col.append(value)
             made = [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:])]

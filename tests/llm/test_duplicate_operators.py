@@ -173,6 +173,17 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_descent.near_duplicates(df.where("false")).count() == 0
 
 
+def test_repeated_passages_of_short_words(spark):
+    rnd = random.Random(21)
+    short = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n))
+    passage, few, long = short(51), short(50), " ".join("".join(rnd.choice("abcdefgh") for _ in range(12)) for _ in range(50))
+    rows = [(k, f"{prose(rnd, 40)} <{k}> {part} <{k}> {prose(rnd, 40)}") for k, part in enumerate([passage, passage, few, few, long, long, short(51)])]
+    df = spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in [*rows, (None, None)]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, df, "").collect()}
+    assert {i: r.text for i, r in got.items() if i is not None} == {i: t.replace(passage, "") for i, t in rows}
+    assert all(r.n_chars == len(r.text) for i, r in got.items() if i is not None)
+
+
 def test_links_between_groups_larger_than_their_lists(spark, monkeypatch):
     rng = np.random.default_rng(20)
     x = np.zeros((300, 16))
