@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, token_coder, url_filter, warc_derive
+from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, token_coder, treap_search, url_filter, warc_derive
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES)
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH a AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, instr(url, '://') > 0 AS ok FROM pages
@@ -104,9 +108,27 @@ FROM d
 """
 
 
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), points AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM points GROUP BY ALL),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM points, corpus WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs
+), scores AS (
+  SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN points p USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, p.doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op5_token_coder, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter)}
+    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op5_token_coder, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter, op13_treap_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op10_url_filter": OP10_SQL, "op13_treap_search": OP13_SQL}
