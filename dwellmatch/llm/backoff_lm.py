@@ -109,6 +109,8 @@ class _Slab:
         self.piece = np.repeat(np.arange(len(lengths)), lengths)
         since = np.arange(len(self.word)) - np.repeat(self.starts, lengths)
         self.counted = since >= lead[self.piece]
+        #: The start symbols of texts, not those that a piece repeats.
+        self.opening = (since == 0) & (lead[self.piece] == 1) & (self.words[self.word] == START)
         self.keys, self.gram = [], []
         key = np.full(len(self.word), START)
         for n in range(1, order + 1):
@@ -133,7 +135,7 @@ def _grams(slabs: DataFrame, order: int, parts: int) -> DataFrame:
             for n in range(order):
                 gram = slab.gram[n]
                 # The start symbol is no token, but its count is that of a context.
-                taught = learn & (gram >= 0) & (slab.counted | (n == 0) & (slab.words[slab.word] == START))
+                taught = learn & (gram >= 0) & (slab.counted | (n == 0) & slab.opening)
                 counts = np.bincount(gram[taught], minlength=len(slab.keys[n]))
                 edges = [0, *np.searchsorted(slab.keys[n], cuts).tolist(), len(counts)]
                 some = [k for k in range(parts) if edges[k] < edges[k + 1]]
@@ -195,7 +197,7 @@ class Automaton:
         self.known = (word_count > 0) & ~is_start
         self.first_log = np.log10(p)
         n_states = 1
-        self.first = np.where((word_count > 0) & ~is_end, n_states + np.arange(n_words), 0)
+        self.first = np.where((word_count > 0) & ~is_end & (order > 1), n_states + np.arange(n_words), 0)
         state_of = [None, self.first[slab.word]]
         contexts = [np.concatenate([[0], word_count])]
         failures = [np.zeros(1 + n_words, np.int64)]
@@ -217,9 +219,10 @@ class Automaton:
             # The longest context has the length order - 1.
             targets.append((target if n < order - 1 else shorter)[seen])
             logs.append(np.log10(prob)[seen])
-            lower = np.where(gram >= 0, prob[gram], lower)
+            # Index -1 stands for no n-gram.
+            lower = np.where(gram >= 0, np.append(prob, 0.0)[gram], lower)
             if n < order - 1:
-                state_of.append(np.where(gram >= 0, target[gram], 0))
+                state_of.append(np.append(target, 0)[gram])
                 contexts.append(count)
                 failures.append(shorter)
                 n_states += len(count)

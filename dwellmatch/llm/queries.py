@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellmatch.llm import bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, token_coder, treap_search, url_filter, warc_derive
+from dwellmatch.llm import backoff_lm, bpe_replay, embedding_descent, language_ppm, latent_decontam, license_scan, minhash_forest, suffix_dedup, token_coder, treap_search, turn_repair, url_filter, warc_derive
 from dwellmatch.session import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES)
 
 
+def op11_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff_lm.score_texts(read_table(spark, sf_dir, "documents"), ~backoff_lm.held_out(F.col("doc_id")))
+    return found.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(conversations, turn_repair.damage(conversations))
+
+
 def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -127,7 +137,7 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 
 
 def queries() -> dict[str, Run]:
-    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op5_token_coder, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter, op13_treap_search)}
+    return {run.__name__: run for run in (op1_warc_derive, op2_minhash_forest, op3_latent_decontam, op4_suffix_dedup, op5_token_coder, op6_bpe_replay, op7_language_ppm, op8_license_scan, op9_embedding_descent, op10_url_filter, op11_backoff_lm, op12_turn_repair, op13_treap_search)}
 
 
 def oracle_sql() -> dict[str, str]:
