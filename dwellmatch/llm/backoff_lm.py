@@ -28,6 +28,10 @@ RANGE_KEYS = 1 << 21
 #: Steps that all lanes of a slab are walked in.
 STEPS = 256
 
+#: Bits by which the keys of n-grams of two words and more are shortened. Of 10^10 n-grams in 56 bits about
+#: 700 pairs share a key and are counted together; words keep all 64.
+SPARED_BITS = 8
+
 #: Symbols before and after each text.
 START, END = np.uint64(1), np.uint64(2)
 
@@ -55,9 +59,9 @@ def _slabs(docs: DataFrame, id_col: str, text_col: str, learn: Column, order: in
 
     def slab(number: int, pieces: list[tuple]) -> pa.RecordBatch:
         stream = np.concatenate([p[-1] for p in pieces])
-        words, places = _distinct(stream)
+        words, places = _by_frequency(*_distinct(stream))
         tokens = [len(p[-1]) - p[2] for p in pieces]
-        made = {"slab": [number], "tokens": [sum(tokens)], "learned": [sum(n for n, p in zip(tokens, pieces) if p[3])], "ids": [[p[0] for p in pieces]], "words": [pack(words, True)], "places": [pack(places)]}
+        made = {"slab": [number], "tokens": [sum(tokens)], "learned": [sum(n for n, p in zip(tokens, pieces) if p[3])], "ids": [[p[0] for p in pieces]], "words": [pack(words)], "places": [pack(places)]}
         made["docs"] = [[{"row": p[1], "lead": p[2], "tokens": n, "learn": p[3]} for p, n in zip(pieces, tokens)]]
         return _columns(made, arrow)
 
@@ -93,21 +97,29 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], place
 
 
+def _by_frequency(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the most frequent words first: most places are then small numbers."""
+    order = np.argsort(-np.bincount(places), kind="stable")
+    to = np.empty(len(words), np.int32)
+    to[order] = np.arange(len(words), dtype=np.int32)
+    return words[order], to[places]
+
+
 class _Slab:
     """The symbols of a slab with, by order, its distinct n-grams and the one that ends at each place."""
 
     def __init__(self, docs: dict[str, np.ndarray], words: bytes, places: bytes, order: int):
-        self.words, self.word = unpack(words, True), unpack(places).astype(np.int64)
+        self.words, self.word = unpack(words), unpack(places).astype(np.int32)
         lead, tokens = docs["lead"].astype(np.int64), docs["tokens"].astype(np.int64)
         lengths = lead + tokens
         self.docs, self.starts = docs, np.cumsum(lengths) - lengths
-        self.piece = np.repeat(np.arange(len(lengths)), lengths)
-        since = np.arange(len(self.word)) - np.repeat(self.starts, lengths)
+        self.piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        since = np.arange(len(self.word)) - self.starts[self.piece]
         self.counted = since >= lead[self.piece]
         #: The start symbols of texts, not those that a piece repeats.
         self.opening = (since == 0) & (lead[self.piece] == 1) & (self.words[self.word] == START)
@@ -118,9 +130,9 @@ class _Slab:
             before = np.concatenate([[START], key[:-1]]) if n > 1 else key
             key = mix64(mix64(before + np.uint64(n)) + self.words[self.word])
             whole = np.flatnonzero(since >= n - 1)
-            distinct, place = _distinct(key[whole])
+            distinct, place = _distinct(key[whole] >> np.uint64(0 if n == 1 else SPARED_BITS))
             self.keys.append(distinct)
-            self.gram.append(np.full(len(key), -1))
+            self.gram.append(np.full(len(key), -1, np.int32))
             self.gram[-1][whole] = place
 
 
@@ -128,6 +140,7 @@ def _grams(slabs: DataFrame, order: int, parts: int) -> DataFrame:
     """Per slab, order and range of keys: the distinct n-grams and how often the slab teaches them."""
     arrow = to_arrow_schema(StructType.fromDDL(GRAMS))
     cuts = np.array([k * (1 << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts_of = [cuts >> np.uint64(0 if n == 0 else SPARED_BITS) for n in range(order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, slab in _each_slab(batches, order):
@@ -137,7 +150,7 @@ def _grams(slabs: DataFrame, order: int, parts: int) -> DataFrame:
                 # The start symbol is no token, but its count is that of a context.
                 taught = learn & (gram >= 0) & (slab.counted | (n == 0) & slab.opening)
                 counts = np.bincount(gram[taught], minlength=len(slab.keys[n]))
-                edges = [0, *np.searchsorted(slab.keys[n], cuts).tolist(), len(counts)]
+                edges = [0, *np.searchsorted(slab.keys[n], cuts_of[n]).tolist(), len(counts)]
                 some = [k for k in range(parts) if edges[k] < edges[k + 1]]
                 made = {"slab": [row] * len(some), "ord": [n + 1] * len(some), "part": some}
                 made["grams"] = [pack(slab.keys[n][edges[k] : edges[k + 1]], True) for k in some]
@@ -207,15 +220,16 @@ class Automaton:
             gram, count = slab.gram[n], totals[n]
             at = np.full(len(count), -1)
             at[gram[gram >= 0]] = np.flatnonzero(gram >= 0)
+            context_count = np.concatenate(contexts)
             # Of each distinct n-gram: its last word, the state of the words before it, its probability.
             word, context = slab.word[at], state_of[n][at - 1]
             # Words before that were never seen are no state; then the n-gram wasn't seen either.
             seen = count > 0
-            prob = (count + BACKOFF * lower[at]) / (np.concatenate(contexts)[context] + BACKOFF)
+            prob = (count + BACKOFF * lower[at]) / (context_count[context] + BACKOFF)
             ends = is_end[word]
             target = np.where(seen & ~ends, n_states + np.arange(len(count)), 0)
             shorter = state_of[n][at]
-            arcs.append((context * n_words + word)[seen])
+            arcs.append((context[seen] * n_words + word[seen]))
             # The longest context has the length order - 1.
             targets.append((target if n < order - 1 else shorter)[seen])
             logs.append(np.log10(prob)[seen])
@@ -293,6 +307,7 @@ def _scored(slabs: DataFrame, sums: DataFrame, order: int, n_tokens: int, n_know
         totals = [np.concatenate(t) if t else np.zeros(0, np.int64) for t in totals]
         slab = _Slab(_doc_columns(left["docs"][0]), left["words"][0].as_py(), left["places"][0].as_py(), order)
         automaton = Automaton(slab, totals, n_tokens, n_known)
+        slab.keys = slab.gram = totals = right = None
         fresh = np.zeros(len(slab.word), bool)
         fresh[slab.starts] = True
         logs = walk(automaton, slab.word, fresh, order)
@@ -321,7 +336,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     Slabs of texts send their distinct n-grams, once each, to ranges of the key; ranges add up and send
     totals back, so a frequent n-gram costs a row per slab and no task sees more than its range or
-    slab. Slabs stay in a table. n-grams are told apart by 64-bit hashes.
+    slab. Slabs stay in a table. Words are told apart by 64-bit hashes, n-grams by 56 bits.
 
     Null and empty texts have the end symbol alone. Repeated rows each count and each get a row; null
     ids too. With nothing to learn from, every token has the probability 1. An empty table gives no

@@ -86,7 +86,7 @@ def test_probabilities_of_a_context_add_up():
     words = np.sort(np.array([1, 2, 50, 60, 70], np.uint64))
     stream = np.array([1, 50, 60, 2, 1, 50, 50, 2, 1, 70, 2], np.uint64)
     doc = {"lead": np.ones(3, np.int64), "tokens": np.array([3, 3, 2]), "learn": np.array([True, True, False]), "row": np.arange(3)}
-    slab = backoff_lm._Slab(doc, word_hash.pack(words, True), word_hash.pack(np.searchsorted(words, stream)), 3)
+    slab = backoff_lm._Slab(doc, word_hash.pack(words), word_hash.pack(np.searchsorted(words, stream)), 3)
     learn = doc["learn"][slab.piece]
     totals = []
     for n in range(3):
