@@ -17,7 +17,7 @@ from dwellmatch.llm.common import Shelf, slices
 from dwellmatch.llm.word_hash import NOT_ALPHANUMERIC, WordHashes, pack, unpack
 
 #: A block of documents, one treap, is closed at either size.
-BLOCK_DOCS, BLOCK_WORDS = 16384, 1 << 21
+BLOCK_DOCS, BLOCK_WORDS = 16384, 1 << 20
 #: Terms of the items that one pass over the index searches for: 16 MB of terms and weights.
 PASS_TERMS = 1 << 20
 #: Document ranges of one level that are opened together.
