@@ -110,6 +110,11 @@ def listing_versions(
     ``seq`` tie-break. ``stored``: snapshot rows of earlier runs; each is the version
     before the first incoming one. Everything is look-back within a listing's ordered
     versions, so serial processing is reproduced with one shuffle by listing.
+
+    With a boolean ``handed`` on the incoming rows, an event that was not handed over stays
+    pending and goes out with the next version: a created one as created, else the newest
+    changed one. Without it every event counts as handed over with its version; only the
+    pending event of the stored row is taken up.
     """
     base = incoming.withColumn("_old", F.lit(0)).withColumn("stored_status", F.lit(None).cast("string"))
     base = base.withColumn("stored_pending", F.lit(None).cast("struct<event:string,version:string>"))
@@ -173,6 +178,9 @@ def listing_versions(
 
     is_changed = (F.size("changes") > 0) | F.col("images_changed") | F.col("revived")
     outcome = F.when(~exists, "new").when(is_changed, "updated").otherwise("touched")
+    if "handed" in incoming.columns:
+        event, version = _with_pending(hist, exists, seq)
+        return _finished(hist, outcome, event, version)
     pending = F.col("_prev.stored_pending")
     event = (
         F.when(~exists & ~F.col("quarantined"), "created")
@@ -183,6 +191,30 @@ def listing_versions(
     version = F.when(
         (F.col("event") == "changed") & F.col("significant"), iso_time(F.col("seen_at").cast("timestamp"))
     ).otherwise(pending["version"])
+    return _finished(hist, outcome, event, version)
+
+
+def _with_pending(hist: KeyedHistory, exists: Column, seq: Sequence[str]) -> tuple[Column, Column]:
+    """Event and version of each row when earlier events may not have been handed over.
+
+    What counts is what came up after the last row before this one that was handed over. The
+    stored row comes up with its pending event.
+    """
+    at = F.struct("_new", "seen_at", *seq)
+    stored = F.col("stored_pending")
+    created = (F.col("_old") == 0) & ~exists & ~F.col("quarantined") | (stored["event"] == "created")
+    own = F.when(F.col("_old") == 1, stored["version"]).otherwise(iso_time(F.col("seen_at").cast("timestamp")))
+    changed = (F.col("_old") == 0) & F.col("significant") | (stored["event"] == "changed")
+    hist.add_previous("_cut", F.when((F.col("_old") == 0) & F.coalesce("handed", F.lit(True)), at))
+    hist.add_latest("_created", F.when(created, at))
+    hist.add_latest("_changed", F.when(changed, F.struct(at.alias("at"), own.alias("version"))))
+    open_ = lambda c: c.isNotNull() & (F.col("_cut").isNull() | (c > F.col("_cut")))
+    event = F.when(open_(F.col("_created")), "created").when(open_(F.col("_changed.at")), "changed")
+    # A created event carries no version.
+    return event, F.when(F.col("event") == "changed", F.col("_changed.version"))
+
+
+def _finished(hist: KeyedHistory, outcome: Column, event: Column, version: Column) -> DataFrame:
     return (
         hist.result()
         .filter("_old = 0")
@@ -190,7 +222,7 @@ def listing_versions(
         .withColumn("event", event)
         .withColumn("change_version", version)
         .withColumn("prev_images", F.col("_prev.image_urls"))
-        .drop("_prev", "_old", "_new", "_set", "stored_status", "stored_pending", "geo_text")
+        .drop("_prev", "_old", "_new", "_set", "stored_status", "stored_pending", "geo_text", "_cut", "_created", "_changed")
     )
 
 
@@ -251,10 +283,15 @@ SNAPSHOT_FIELDS = [
 ]
 
 
+PENDING_FIELDS = ["pending_event", "pending_version"]
+
+
 def snapshot(versions: DataFrame, stored: DataFrame | None = None, seq: Sequence[str] = ("seq",)) -> DataFrame:
     """Next snapshot: untouched stored rows plus the last effective version per listing.
 
-    An unchanged version only moves last_seen_at. Aggregates combine before the shuffle.
+    An unchanged version only moves last_seen_at. Versions with ``handed`` leave the event of a
+    listing's last version pending if it wasn't handed over; with ``stored`` pending events of
+    listings that were not seen stay. Aggregates combine before the shuffle.
     """
     at = F.struct("seen_at", *seq)
     effective = F.col("outcome") != "touched"
@@ -264,22 +301,49 @@ def snapshot(versions: DataFrame, stored: DataFrame | None = None, seq: Sequence
         F.max_by(body, F.when(effective, at)).alias("b"),
         F.min(F.when(F.col("outcome") == "new", F.col("seen_at"))).alias("first_seen_at"),
         F.max("seen_at").alias("last_seen_at"),
+        F.max_by(_pending(versions), at).alias("p"),
     )
+    keeps = "handed" in versions.columns
+    pending = [F.col(f"p.{c}").alias(c) for c in PENDING_FIELDS] if keeps else []
     if stored is None:
-        return latest.select("listing_id", "b.*", "first_seen_at", "last_seen_at")
+        return latest.select("listing_id", "b.*", "first_seen_at", "last_seen_at", *pending)
     old = stored.select(
-        "listing_id", F.struct(*[F.col(f) for f in fields]).alias("_ob"), F.col("first_seen_at").alias("_of"), F.col("last_seen_at").alias("_ol")
+        "listing_id", F.struct(*[F.col(f) for f in fields]).alias("_ob"), F.col("first_seen_at").alias("_of"), F.col("last_seen_at").alias("_ol"),
+        *([F.struct(*PENDING_FIELDS).alias("_op")] if keeps else []),
     )
     merged = old.join(latest, "listing_id", "full_outer")
     body = F.coalesce("b", "_ob")
+    if keeps:
+        left = F.when(F.col("last_seen_at").isNull(), F.col("_op")).otherwise(F.col("p"))
+        pending = [left[c].alias(c) for c in PENDING_FIELDS]
     return merged.select(
         "listing_id",
         *[body[f].alias(f) for f in fields],
         F.coalesce("_of", "first_seen_at").alias("first_seen_at"),
         F.coalesce("last_seen_at", "_ol").alias("last_seen_at"),
+        *pending,
     )
 
 
+def _pending(versions: DataFrame) -> Column:
+    """The event that a version leaves pending."""
+    left = F.col("event").isNotNull() & ~F.coalesce("handed", F.lit(True)) if "handed" in versions.columns else F.lit(False)
+    return F.struct(F.when(left, F.col("event")).alias("pending_event"), F.when(left, F.col("change_version")).alias("pending_version"))
+
+
+def clear_pending(listings: DataFrame, delivered: DataFrame) -> DataFrame:
+    """``listings`` without the pending events of ``delivered`` (listing_id, event, change_version).
+
+    A delivery clears exactly what it delivered: one of another event or version, overtaken by a later
+    change, clears nothing. Deliveries may repeat.
+    """
+    version = lambda c: F.coalesce(c, F.lit(""))
+    done = delivered.where("event is not null").select("listing_id", F.col("event").alias("pending_event"), version("change_version").alias("_v"), F.lit(True).alias("_done")).distinct()
+    marked = listings.withColumn("_v", version("pending_version")).join(done, ["listing_id", "pending_event", "_v"], "left")
+    kept = {c: F.when(F.col("_done").isNull(), F.col(c)).alias(c) for c in PENDING_FIELDS}
+    return marked.select(*[kept.get(c, F.col(c)) for c in listings.columns])
+
+
 def run_counters(versions: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Fetched, new, updated and error counts per source, with the run's final status."""
     counts = versions.groupBy("source_slug").agg(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from dwellmatch.functions.keys import fingerprint
 from dwellmatch.operators import monitor, profiles, quality, upsert
+from dwellmatch.operators.skew import latest_per_key
 from dwellmatch.plans import adapter as A
 from dwellmatch.plans import frames as fr
 from dwellmatch.plans.registry import query
-from dwellmatch.session import read_table
+from dwellmatch.session import read_table, scratch
 from dwellmatch.sources import postal
 from dwellmatch.sources.registry import filter_definitions
 
@@ -354,3 +355,58 @@ def two_run_report(spark: SparkSession, d: str) -> DataFrame:
 def dedup_ratio(spark: SparkSession, d: str) -> DataFrame:
     return monitor.dedup_ratio(fr.versions(spark, d))
 
+
+
+RUN_ENDS = ["1995-01-01", "1997-01-01"]
+
+
+def _three_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(events of three runs, last snapshot). Handing over fails for rows with s3 >= 10; before the next run
+    a third of the pending events is delivered, and stale deliveries of the others change nothing."""
+    root = scratch(spark, "e12")
+    rows = fr.incoming(spark, d).withColumn("fingerprint", F.sha2("listing_id", 256)).withColumn("handed", F.col("s3") < 10)
+    run = sum(((F.col("seen_at") >= F.lit(end).cast("timestamp_ntz")).cast("int") for end in RUN_ENDS), F.lit(0))
+    rows, stored, events = rows.withColumn("run", run), None, None
+    for k in range(len(RUN_ENDS) + 1):
+        now = upsert.listing_versions(rows.filter(F.col("run") == k), stored, seq=A.SEQ)
+        now.write.parquet(f"{root}/versions-{k}")
+        now = spark.read.parquet(f"{root}/versions-{k}")
+        snapshot = upsert.snapshot(now, stored, seq=A.SEQ)
+        sent = now.filter("event is not null").select("run", "listing_id", "event", "change_version", "handed")
+        events = sent if events is None else events.unionByName(sent)
+        if k < len(RUN_ENDS):
+            last = latest_per_key(now, ["listing_id"], ["seen_at", *A.SEQ])
+            late = F.when(F.col("s1") % 3 == 0, F.col("change_version")).otherwise(F.lit("1970-01-01T00:00:00.000Z"))
+            snapshot = upsert.clear_pending(snapshot, last.select("listing_id", "event", late.alias("change_version")))
+        snapshot.write.parquet(f"{root}/snapshot-{k}")
+        stored = spark.read.parquet(f"{root}/snapshot-{k}")
+    return events, stored
+
+
+_PENDING = (
+    "WITH r AS (SELECT *, CASE WHEN seen_at >= '1997-01-01' THEN 2 WHEN seen_at >= '1995-01-01' THEN 1 ELSE 0 END AS run FROM versions), "
+    "t AS (SELECT *, s3 < 10 AS handed, row_number() OVER (PARTITION BY listing_id, run ORDER BY seen_at DESC, s1 DESC, s2 DESC, s3 DESC, s4 DESC) = 1 AND run < 2 AND s1 % 3 = 0 AS acked, "
+    "row_number() OVER (PARTITION BY listing_id ORDER BY seen_at, s1, s2, s3, s4) AS n FROM r), "
+    "u AS (SELECT *, coalesce(sum(CASE WHEN handed OR acked THEN 1 ELSE 0 END) OVER (PARTITION BY listing_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM t), "
+    "x AS (SELECT *, bool_or(coalesce(event = 'created', false)) OVER w AS any_created, last_value(change_version IGNORE NULLS) OVER w AS newest FROM u WINDOW w AS (PARTITION BY listing_id, part ORDER BY n ROWS UNBOUNDED PRECEDING)), "
+    "y AS (SELECT *, CASE WHEN any_created THEN 'created' WHEN newest IS NOT NULL THEN 'changed' END AS sent, CASE WHEN NOT any_created THEN newest END AS version FROM x) "
+)
+
+
+@query(
+    "e12_pending_runs",
+    _PENDING + "SELECT run, listing_id, sent AS event, version AS change_version, handed FROM y WHERE sent IS NOT NULL",
+)
+def pending_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Events of three runs in which handing over fails; what is pending comes up again."""
+    return _three_runs(spark, d)[0]
+
+
+@query(
+    "e9_pending_snapshot",
+    _PENDING + "SELECT listing_id, CASE WHEN NOT done THEN sent END AS pending_event, CASE WHEN NOT done THEN version END AS pending_version FROM "
+    "(SELECT *, handed OR acked OR sent IS NULL AS done, row_number() OVER (PARTITION BY listing_id ORDER BY n DESC) AS back FROM y) WHERE back = 1",
+)
+def pending_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """What is still pending after the three runs."""
+    return _three_runs(spark, d)[1].select("listing_id", *upsert.PENDING_FIELDS)
