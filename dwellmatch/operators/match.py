@@ -532,6 +532,10 @@ def reject_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(~bad), errors
 
 
+def match_key() -> Column:
+    return F.sha2(F.concat_ws(":", "profile_id", "listing_id"), 256)
+
+
 def record_matches(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     """Insert-if-absent on (profile, listing), keeping what each pair should trigger.
 
@@ -546,7 +550,7 @@ def record_matches(pairs: DataFrame, existing: DataFrame) -> DataFrame:
         joined.withColumn("is_new", is_new)
         .withColumn("state", F.coalesce("_state", F.lit("pending")))
         .withColumn("triggers", is_new | (F.col("event") == "changed") | (F.col("_state") == "pending"))
-        .withColumn("match_id", F.sha2(F.concat_ws(":", "profile_id", "listing_id"), 256))
+        .withColumn("match_id", match_key())
         .drop("_state")
     )
 

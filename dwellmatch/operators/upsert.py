@@ -43,6 +43,39 @@ def resolve_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return found.drop("_a", "_ta").unionByName(rest.drop("_a", "_ta", "_b", "_tb"))
 
 
+def _lookups(df: DataFrame) -> Column:
+    """The two keys a listing is found by: source and external id, and fingerprint."""
+    by_id = F.when(F.col("source_slug").isNotNull() & F.col("external_id").isNotNull(), F.concat(F.lit("i"), F.length("source_slug").cast("string"), F.lit("|"), "source_slug", F.lit("|"), "external_id"))
+    return F.array_compact(F.array(by_id, F.concat(F.lit("f|"), "fingerprint")))
+
+
+def lookup_keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(_lookups(rows)).alias("lookup")).distinct()
+
+
+def resolve_by_lookup(incoming: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``resolve_existing``, with the look-up rows (lookup, found_id, last_seen_at) of the incoming keys
+    in place of all stored listings."""
+    known = found.where("found_id is not null").select("lookup", F.struct(F.col("found_id").alias("id"), F.col("last_seen_at").alias("seen")).alias("_at"))
+    keyed = incoming.withColumn("_keys", _lookups(incoming))
+    by_print = known.withColumnRenamed("_at", "_p")
+    first = keyed.join(known, F.when(F.size("_keys") == 2, F.col("_keys")[0]) == F.col("lookup"), "left").drop("lookup")
+    both = first.join(by_print, F.concat(F.lit("f|"), "fingerprint") == F.col("lookup"), "left").drop("lookup")
+    hit = F.coalesce("_at", "_p")
+    return both.withColumn("listing_id", F.coalesce(hit["id"], F.col("fingerprint"))).withColumn("stored_seen_at", hit["seen"]).drop("_keys", "_at", "_p")
+
+
+def changed_lookups(snapshot: DataFrame, touched: DataFrame | None) -> DataFrame:
+    """Look-up rows of a batch's listings; a key that a listing no longer has is written without an id."""
+    now = snapshot.select(F.explode(_lookups(snapshot)).alias("lookup"), F.struct(F.col("listing_id").alias("found_id"), "last_seen_at").alias("_at"))
+    # Of listings that came to share a key the one with the smallest id is found by it.
+    now = now.groupBy("lookup").agg(F.min("_at").alias("_at")).select("lookup", "_at.*")
+    if touched is None:
+        return now
+    gone = touched.select(F.explode(_lookups(touched)).alias("lookup")).distinct().join(now.select("lookup"), "lookup", "left_anti")
+    return now.unionByName(gone, allowMissingColumns=True)
+
+
 def split_late(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(in order, late): rows older than the stored listing never overwrite it."""
     late = F.coalesce(F.col("seen_at") < F.col("stored_seen_at"), F.lit(False))

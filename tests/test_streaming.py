@@ -6,7 +6,7 @@ from dwellmatch.operators import notify, quality, upsert
 from dwellmatch.plans import adapter as A
 from dwellmatch.plans import frames as fr
 from dwellmatch.sources.registry import filter_definitions
-from dwellmatch.sources.sinks import VersionedTable
+from dwellmatch.sources.sinks import TableSet, VersionedTable
 from dwellmatch.streaming.alerts import StallWatch, error_windows
 from dwellmatch.streaming.delivery import LimitedDelivery, first_deliveries
 from dwellmatch.streaming.feed import ListingFeed
@@ -38,6 +38,10 @@ def test_feed_equals_batch_and_replays(spark, sf, tmp_path):
     want_events = upsert.match_events(whole).select(*ev)
     assert events.exceptAll(want_events).count() == 0 and want_events.exceptAll(events).count() == 0
 
+    images = feed.images.read()
+    want_images = feed.listings.read().select("listing_id", F.inline("images")).select(images.columns)
+    assert images.exceptAll(want_images).count() == 0 and want_images.exceptAll(images).count() == 0 and images.count() > 0
+
     def sizes():
         return [spark.read.parquet(str(tmp_path / f"out/{n}")).count() for n in ("events", "history", "notify_events")]
 
@@ -71,6 +75,40 @@ def test_versioned_table_ignores_unfinished_versions(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "z"), (2, "c"), (3, "d")]
 
 
+def test_versioned_table_opens_named_buckets_only(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "k", buckets=8)
+    rows = spark.range(100).selectExpr("cast(id as int) AS k", "'a' AS v")
+    t.write(rows, 0)
+    t.write(rows.where("k < 3").withColumn("v", F.lit("b")), 1)
+    t.compact(1)
+    t.write(rows.where("k = 5").withColumn("v", F.lit("c")), 2)
+    keys = rows.where("k in (1, 5)")
+    touched = t.touched(keys)
+    assert len(touched) <= 2
+    got = t.read(buckets=touched)
+    opened = {f.split("bucket=")[1].split("/")[0] for f in got.inputFiles()}
+    assert opened == {str(b) for b in touched} and len(got.inputFiles()) < 8
+    assert sorted(map(tuple, got.join(keys.select("k"), "k", "left_semi").collect())) == [(1, "b"), (5, "c")]
+    assert t.read(buckets=[]) is None
+
+
+def test_table_set_counts_whole_batches_and_replaces_children(spark, tmp_path):
+    s = TableSet(spark, str(tmp_path), {"a": ("k", False), "b": ("k", True)}, buckets=2)
+    a = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    b = lambda *r: spark.createDataFrame(list(r), "k int, url string, position int")
+    for version, parents, children in ((0, a((1, "x"), (2, "x")), b((1, "p", 0), (1, "q", 1), (2, "r", 0))), (1, a((1, "y"), (2, "y"), (3, "y")), b((1, "q", 0), (3, "s", 0)))):
+        s["a"].write(parents, version)
+        s["b"].write_children(children, parents, version)
+        if version == 1:
+            # Not committed yet: neither table shows the second batch.
+            assert {r.v for r in s["a"].read().collect()} == {"x"} and s["b"].read().count() == 3
+        s.commit(version)
+    assert sorted(map(tuple, s["b"].read().collect())) == [(1, "q", 0), (3, "s", 0)]
+    s.compact(1)
+    assert sorted(map(tuple, s["b"].read().collect())) == [(1, "q", 0), (3, "s", 0)] and s["a"].read().count() == 3
+    assert sorted(map(tuple, s["b"].read(before=1).collect())) == [(1, "p", 0), (1, "q", 1), (2, "r", 0)]
+
+
 def test_error_windows_stream(spark, sf, tmp_path):
     src = str(tmp_path / "runs")
     A.source_runs(spark, sf).coalesce(1).write.parquet(src)
