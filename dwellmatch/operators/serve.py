@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,41 @@ def check_search_args(limit: int = 20, **bounds: float | None) -> None:
         raise ValueError("price_min must be <= price_max")
 
 
+#: Numbers of a search and the city, as texts.
+SEARCH_NUMBERS = ["price_max", "price_min", "rooms_min", "area_min"]
+# Fixed value: the layout of an id.
+_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def _argument(name: str) -> Column:
+    """A number from an argument's text: blank is 0, what is no number gives NaN."""
+    text = F.trim(F.col(name))
+    plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(text == "", 0.0).when(plain, text.cast("double")).when(text.isNotNull(), F.lit(float("nan")))
+
+
+def checked_search_args(args: DataFrame) -> DataFrame:
+    """Logged search requests with their parsed arguments and ``errors``, the arguments that are refused.
+
+    ``args`` has text columns city, price_max, price_min, rooms_min, area_min, limit and cursor; null is
+    an argument that wasn't given. A city has 1 to 200 characters without outer blanks, a number is
+    finite and not negative, the limit a whole number from 1 to 100 (20 if not given), the cursor
+    an id; the lowest price must not exceed the highest. A request is accepted if ``errors`` is empty.
+    """
+    rows = args.withColumn("city", F.trim("city"))
+    wrong = [F.when(~F.length("city").between(1, 200), "city")]
+    for name in SEARCH_NUMBERS:
+        rows = rows.withColumn(name, _argument(name))
+        wrong.append(F.when(F.isnan(name) | (F.col(name) < 0) | (F.col(name) == float("inf")), name))
+    rows = rows.withColumn("limit", F.coalesce(_argument("limit"), F.lit(20.0)))
+    wrong.append(F.when(F.isnan("limit") | (F.col("limit") != F.floor("limit")) | ~F.col("limit").between(1, 100), "limit"))
+    wrong.append(F.when(~F.col("cursor").rlike(_UUID), "cursor"))
+    first = F.array_compact(F.array(*wrong))
+    # Bounds are compared once all arguments are valid by themselves.
+    crossed = F.when(F.col("price_min") > F.col("price_max"), F.array(F.lit("price_min > price_max"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("errors", F.when(F.size(first) > 0, first).otherwise(crossed)).withColumn("limit", F.when(F.size("errors") == 0, F.col("limit").cast("int")))
+
+
 def _check_page(limit: int, most: int) -> None:
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be between 1 and {most}")
@@ -71,7 +106,7 @@ def page_of(rows: DataFrame, limit: int = 20) -> tuple[list, bool, tuple | None]
 
 
 def listing_detail(listings: DataFrame, images: DataFrame) -> DataFrame:
-    """Listings with their images in order; a listing stores ten images at most."""
+    """Listings with all their images in order."""
     ordered = images.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("position", "url"))).alias("images"))
     return listings.drop("images").join(ordered, "listing_id", "left")
 
@@ -258,6 +293,49 @@ def similar_titles(listings: DataFrame, query: str, threshold: float = 0.3) -> D
     return titles.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
 
 
+class TitleIndex:
+    """Titles with the posting lists of their trigrams, as tables under ``path``.
+
+    A title of similarity ``t`` or more to a query shares at least ``t`` of the query's trigrams, so it has
+    one of any ``n - ceil(t n) + 1`` of them: the postings of the rarest ones are enough, and of those
+    only the part with lengths between ``t n`` and ``n / t``. Postings are sorted by trigram and length, so
+    a search skips the row groups of other trigrams.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, listings: DataFrame) -> None:
+        """Of the distinct titles; null ones are left out."""
+        titles = listings.filter("title is not null").groupBy("title").agg(F.count("*").alias("listings"))
+        titles = titles.withColumn("grams", title_trigrams(F.col("title"))).withColumn("n_grams", F.size("grams")).withColumn("key", F.xxhash64("title"))
+        titles.write.parquet(f"{self.path}/titles")
+        postings = self.spark.read.parquet(f"{self.path}/titles").select(F.explode("grams").alias("gram"), "n_grams", "key")
+        postings.repartitionByRange("gram", "n_grams").sortWithinPartitions("gram", "n_grams").write.parquet(f"{self.path}/postings")
+        counts = self.spark.read.parquet(f"{self.path}/postings").groupBy("gram").agg(F.count("*").alias("titles"))
+        counts.write.parquet(f"{self.path}/counts")
+
+    def candidates(self, queries: DataFrame, threshold: float) -> DataFrame:
+        """(query_id, key) of the titles that may be similar enough; ``queries``: query_id, text."""
+        least = lambda n: F.ceil(F.lit(threshold) * n - 1e-9)
+        grams = queries.select("query_id", F.explode(title_trigrams(F.col("text"))).alias("gram"), F.size(title_trigrams(F.col("text"))).alias("n"))
+        # A trigram of no title can be among the rarest: it stands for a posting list without rows.
+        ranked = grams.join(self.spark.read.parquet(f"{self.path}/counts"), "gram", "left")
+        rarest = Window.partitionBy("query_id").orderBy(F.coalesce("titles", F.lit(0)), "gram")
+        ranked = ranked.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.col("n") - least(F.col("n")) + 1)
+        postings = self.spark.read.parquet(f"{self.path}/postings")
+        long_enough = (F.col("n_grams") >= least(F.col("n"))) & (F.col("n_grams") * threshold <= F.col("n") + 1e-9)
+        return ranked.filter("titles is not null").join(postings, "gram").filter(long_enough).select("query_id", "key").distinct()
+
+    def search(self, queries: DataFrame, threshold: float = 0.3) -> DataFrame:
+        """(query_id, title, listings, similarity) of all titles of at least that similarity."""
+        texts = queries.filter("text is not null").select("query_id", title_trigrams(F.col("text")).alias("wanted"))
+        found = self.candidates(queries, threshold).join(self.spark.read.parquet(f"{self.path}/titles"), "key").join(texts, "query_id")
+        both = F.size(F.array_intersect("grams", "wanted"))
+        found = found.withColumn("similarity", both / (F.col("n_grams") + F.size("wanted") - both))
+        return found.filter(F.col("similarity") >= threshold).select("query_id", "title", "listings", "similarity")
+
+
 def current_consents(log: DataFrame) -> DataFrame:
     """Current consent per user and type from the append-only log."""
     return log.groupBy("user_id", "consent_type").agg(

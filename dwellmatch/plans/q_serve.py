@@ -10,7 +10,7 @@ from dwellmatch.operators import monitor, profiles, serve, upsert
 from dwellmatch.plans import adapter as A
 from dwellmatch.plans import frames as fr
 from dwellmatch.plans.registry import query
-from dwellmatch.session import read_table
+from dwellmatch.session import read_table, scratch
 from dwellmatch.sources.registry import SOURCE_KINDS, filter_definitions, source_rows, upsert_by_key
 
 _END = "2001-12-01"
@@ -316,6 +316,25 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return serve.similar_titles(fr.live(spark, d), "red widget")
 
 
+_PAGE_TITLE = "nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')"
+_GRAMS = "list_distinct(list_transform(range(1, len({0}) + 2), lambda i: substr('  ' || lower({0}) || ' ', i, 3)))"
+
+
+@query(
+    "h21_title_index",
+    f"WITH p AS (SELECT page_id, {_PAGE_TITLE} AS title FROM pages), t AS (SELECT title, count(*) AS listings FROM p WHERE title IS NOT NULL GROUP BY title), "
+    f"a AS (SELECT title, listings, {_GRAMS.format('title')} AS g FROM t), q AS (SELECT page_id AS query_id, {_GRAMS.format('title')} AS w FROM p WHERE page_id % 50 = 0 AND title IS NOT NULL), "
+    "b AS (SELECT query_id, title, listings, len(list_intersect(g, w)) AS n, len(g) + len(w) AS m FROM q, a) "
+    "SELECT query_id, title, listings, n / (m - n) AS similarity FROM b WHERE n / (m - n) >= 0.3",
+)
+def title_index(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of all pages, searched for those of every fiftieth page."""
+    titles = read_table(spark, d, "pages").select("page_id", F.expr(_PAGE_TITLE).alias("title"))
+    index = serve.TitleIndex(spark, scratch(spark, "h21"))
+    index.build(titles)
+    return index.search(titles.filter("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), F.col("title").alias("text")))
+
+
 @query(
     "h22_current_consents",
     "WITH c AS (SELECT user_id, concat('type', cast(event_id % 3 as varchar)) AS consent_type, event_id % 2 = 0 AS granted, ts, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
@@ -447,3 +466,33 @@ def health_labels(spark: SparkSession, d: str) -> DataFrame:
     breaker = F.when(F.col("run_id") % 7 == 0, "open").when(F.col("run_id") % 7 == 1, "half_open").otherwise("closed")
     label = health(F.col("run_id") % 11 != 0, breaker, F.col("status"), F.col("errors"))
     return A.source_runs(spark, d).groupBy(label.alias("health")).agg(F.count("*").alias("n"))
+
+
+_ARGS = {
+    "city": "CASE WHEN c_custkey % 7 = 0 THEN '   ' WHEN c_custkey % 7 > 1 THEN concat(' ', c_mktsegment) END",
+    "price_max": "CASE WHEN c_custkey % 4 > 0 THEN cast((c_custkey * 37) % 9000 as string) END",
+    "price_min": "CASE WHEN c_custkey % 3 > 0 THEN cast(cast(floor(c_acctbal) as bigint) as string) END",
+    "rooms_min": "CASE WHEN c_custkey % 5 = 0 THEN 'many' WHEN c_custkey % 5 = 1 THEN ' 2.5 ' WHEN c_custkey % 5 = 2 THEN '' END",
+    "area_min": "CASE WHEN c_custkey % 13 = 0 THEN '1e999' WHEN c_custkey % 13 = 1 THEN '.5e2' END",
+    "limit": "CASE WHEN c_custkey % 3 = 0 THEN cast(c_custkey % 130 - 10 as string) WHEN c_custkey % 17 = 1 THEN '2.5' END",
+    "cursor": "CASE WHEN c_custkey % 11 = 0 THEN 'next' WHEN c_custkey % 11 = 1 THEN '00000000-0000-4000-8000-00000000000A' END",
+}
+_N = "CASE WHEN trim({0}) = '' THEN 0 WHEN {0} IS NOT NULL THEN coalesce(try_cast(trim({0}) as double), 'nan'::double) END"
+
+
+@query(
+    "d11_search_args",
+    "WITH a AS (SELECT c_custkey AS request_id, " + ", ".join(f'{sql} AS "{n}"' for n, sql in _ARGS.items()) + " FROM customer), "
+    "b AS (SELECT request_id, trim(city) AS city, cursor, " + ", ".join(f"{_N.format(n)} AS {n}" for n in ("price_max", "price_min", "rooms_min", "area_min")) + f", coalesce({_N.format('a.limit')}, 20) AS l FROM a), "
+    "c AS (SELECT *, concat(CASE WHEN length(city) NOT BETWEEN 1 AND 200 THEN 'city;' ELSE '' END, "
+    + ", ".join(f"CASE WHEN isnan({n}) OR isinf({n}) OR {n} < 0 THEN '{n};' ELSE '' END" for n in ("price_max", "price_min", "rooms_min", "area_min"))
+    + ", CASE WHEN isnan(l) OR l <> floor(l) OR l < 1 OR l > 100 THEN 'limit;' ELSE '' END, CASE WHEN cursor = 'next' THEN 'cursor;' ELSE '' END) AS e FROM b), "
+    "d AS (SELECT *, CASE WHEN e = '' AND price_min > price_max THEN 'price_min > price_max;' ELSE e END AS errors FROM c) "
+    "SELECT request_id, errors, CASE WHEN errors = '' THEN l::INT END AS page_size FROM d",
+)
+def search_args(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted and refused search requests."""
+    logged = read_table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), *[F.expr(sql).alias(n) for n, sql in _ARGS.items()])
+    checked = serve.checked_search_args(logged)
+    errors = F.concat_ws("", F.transform("errors", lambda e: F.concat(e, F.lit(";"))))
+    return checked.select("request_id", errors.alias("errors"), F.col("limit").alias("page_size"))

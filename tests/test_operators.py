@@ -235,3 +235,53 @@ def test_text_attributes_are_valid_json(spark):
     text = 'a "b" \\ c\nd'
     got = spark.createDataFrame([(text,)], "t string").select(_text_attr("x", F.col("t")).alias("m")).first()["m"]["x"]
     assert json.loads(got) == text
+
+
+def test_title_index_equals_the_scan(spark, tmp_path):
+    import random
+
+    from dwellmatch.operators import serve
+
+    rnd = random.Random(8)
+    words = ["flat", "Loft", "balcony", "garden", "südlage", "2", "rooms", "quiet", "x" * 20, "near", "park"] + [f"q{k}z" for k in range(200)]
+    rows = [(" ".join(rnd.choice(words) for _ in range(rnd.randrange(6))),) for _ in range(600)] + [(None,), ("",), ("",)]
+    titles = spark.createDataFrame(rows, "title string")
+    index = serve.TitleIndex(spark, str(tmp_path))
+    index.build(titles)
+    texts = ["quiet flat near park", "q7z q8z", "", "no such thing", rows[3][0], None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    for threshold in (0.3, 0.6, 1.0):
+        got = {(r.query_id, r.title, r.listings, r.similarity) for r in index.search(queries, threshold).collect()}
+        want = {(k, r.title, r.listings, r.similarity) for k, t in enumerate(texts) if t is not None for r in serve.similar_titles(titles, t, threshold).collect()}
+        assert got == want
+    # The rarest trigrams leave few titles to compare.
+    assert index.candidates(queries.where("query_id = 1"), 0.6).count() < 0.1 * titles.distinct().count()
+
+
+def test_ranked_values_equal_sorting(spark):
+    import random
+
+    from dwellmatch.operators import monitor
+
+    rnd = random.Random(9)
+    for values in ([5], [3] * 50, [rnd.randrange(-(10**12), 10**12) for _ in range(500)], [7] * 300 + [rnd.randrange(10**6) for _ in range(200)]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+        ranks = sorted({0, len(values) // 2, len(values) - 1})
+        assert monitor.ranked_values(rows, "v", ranks, min(values), max(values)) == [sorted(values)[r] for r in ranks]
+    nothing = spark.createDataFrame([], "a timestamp, b timestamp")
+    assert tuple(monitor.latency_report(nothing, "a", "b").first())[:3] == (0, 0, 0)
+
+
+def test_search_requests(spark):
+    from dwellmatch.operators.serve import checked_search_args
+
+    names = ["city", "price_max", "price_min", "rooms_min", "area_min", "limit", "cursor"]
+    cases = [
+        ({}, []), ({"city": "x" * 200}, []), ({"city": " " + "x" * 201}, ["city"]), ({"city": ""}, ["city"]), ({"price_min": "", "price_max": "0"}, []),
+        ({"price_min": "2", "price_max": "1.5"}, ["price_min > price_max"]), ({"price_min": "2", "price_max": "-1"}, ["price_max"]), ({"area_min": "Infinity"}, ["area_min"]),
+        ({"rooms_min": "1e999"}, ["rooms_min"]), ({"limit": "100"}, []), ({"limit": "101"}, ["limit"]), ({"limit": "0"}, ["limit"]), ({"limit": "1.5"}, ["limit"]), ({"cursor": "7"}, ["cursor"]),
+        ({"rooms_min": "x", "limit": "x"}, ["rooms_min", "limit"]),
+    ]
+    rows = spark.createDataFrame([(k, *[c.get(n) for n in names]) for k, (c, _) in enumerate(cases)], "k int, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.k: r.errors for r in checked_search_args(rows).collect()}
+    assert got == {k: e for k, (_, e) in enumerate(cases)}
