@@ -293,44 +293,68 @@ def similar_titles(listings: DataFrame, query: str, threshold: float = 0.3) -> D
     return titles.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
 
 
+WORDS = 4
+
+
+def _signature(grams: str) -> list[Column]:
+    """Which of 256 bits the trigrams fall on, as four longs."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS))
+    bit = lambda g, k: F.when(F.floor(place(g) / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(g), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = lambda k: F.aggregate(grams, F.lit(0).cast("long"), lambda have, g: have.bitwiseOR(bit(g, k)))
+    return [word(k) for k in range(WORDS)]
+
+
 class TitleIndex:
     """Titles with the posting lists of their trigrams, as tables under ``path``.
 
-    A title of similarity ``t`` or more to a query shares at least ``t`` of the query's trigrams, so it has
-    one of any ``n - ceil(t n) + 1`` of them: the postings of the rarest ones are enough, and of those
-    only the part with lengths between ``t n`` and ``n / t``. Postings are sorted by trigram and length, so
-    a search skips the row groups of other trigrams.
+    Two sets of ``n`` and ``m`` trigrams with similarity ``t`` or more share at least
+    ``t / (1 + t) (n + m)`` of them. With all trigrams in one order, rarest first, the first one they share
+    stands early enough in both for that many to follow: only such postings make candidates, and
+    common trigrams, which stand late, make hardly any. A posting also tells which of 256 bits the
+    title's trigrams fall on; bits that only one side has are trigrams that are not shared, so most
+    pairs go before they are shuffled. Postings are sorted by trigram and length.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
     def build(self, listings: DataFrame) -> None:
         """Of the distinct titles; null ones are left out."""
         titles = listings.filter("title is not null").groupBy("title").agg(F.count("*").alias("listings"))
         titles = titles.withColumn("grams", title_trigrams(F.col("title"))).withColumn("n_grams", F.size("grams")).withColumn("key", F.xxhash64("title"))
         titles.write.parquet(f"{self.path}/titles")
-        postings = self.spark.read.parquet(f"{self.path}/titles").select(F.explode("grams").alias("gram"), "n_grams", "key")
+        signature = [f"s{k}" for k in range(WORDS)]
+        titles = self._table("titles").select("key", "n_grams", "grams", *[c.alias(n) for c, n in zip(_signature("grams"), signature)])
+        grams = titles.select("key", "n_grams", F.explode("grams").alias("gram"), *signature)
+        grams.groupBy("gram").agg(F.count("*").alias("titles")).write.parquet(f"{self.path}/counts")
+        rarest = Window.partitionBy("key", "n_grams").orderBy("titles", "gram")
+        postings = grams.join(self._table("counts"), "gram").select("gram", "n_grams", F.row_number().over(rarest).alias("place"), "key", *signature)
         postings.repartitionByRange("gram", "n_grams").sortWithinPartitions("gram", "n_grams").write.parquet(f"{self.path}/postings")
-        counts = self.spark.read.parquet(f"{self.path}/postings").groupBy("gram").agg(F.count("*").alias("titles"))
-        counts.write.parquet(f"{self.path}/counts")
 
     def candidates(self, queries: DataFrame, threshold: float) -> DataFrame:
         """(query_id, key) of the titles that may be similar enough; ``queries``: query_id, text."""
-        least = lambda n: F.ceil(F.lit(threshold) * n - 1e-9)
-        grams = queries.select("query_id", F.explode(title_trigrams(F.col("text"))).alias("gram"), F.size(title_trigrams(F.col("text"))).alias("n"))
-        # A trigram of no title can be among the rarest: it stands for a posting list without rows.
-        ranked = grams.join(self.spark.read.parquet(f"{self.path}/counts"), "gram", "left")
+        wanted = queries.select("query_id", title_trigrams(F.col("text")).alias("grams"))
+        signed = wanted.select("*", *[c.alias(f"q{k}") for k, c in enumerate(_signature("grams"))])
+        grams = signed.select("query_id", F.explode("grams").alias("gram"), F.size("grams").alias("n"), *[f"q{k}" for k in range(WORDS)])
+        # Trigrams of no title come first: they take places that nothing is shared at.
         rarest = Window.partitionBy("query_id").orderBy(F.coalesce("titles", F.lit(0)), "gram")
-        ranked = ranked.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.col("n") - least(F.col("n")) + 1)
-        postings = self.spark.read.parquet(f"{self.path}/postings")
-        long_enough = (F.col("n_grams") >= least(F.col("n"))) & (F.col("n_grams") * threshold <= F.col("n") + 1e-9)
-        return ranked.filter("titles is not null").join(postings, "gram").filter(long_enough).select("query_id", "key").distinct()
+        ranked = grams.join(self._table("counts"), "gram", "left").withColumn("rank", F.row_number().over(rarest))
+        shared = F.ceil((F.col("n") + F.col("n_grams")) * (threshold / (1 + threshold)) - 1e-9)
+        early = F.least(F.col("n") - F.col("rank"), F.col("n_grams") - F.col("place")) + 1 >= shared
+        only = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(WORDS)), F.lit(0))
+        alike = (F.col("n") - only("q", "s") >= shared) & (F.col("n_grams") - only("s", "q") >= shared)
+        # The shortest title that can match bounds the rank before any posting is read.
+        ranked = ranked.filter("titles is not null").filter(F.col("n") - F.col("rank") + 1 >= F.col("n") * threshold - 1e-9)
+        found = ranked.join(self._table("postings"), "gram").filter(early & alike & (F.col("n_grams") * threshold <= F.col("n") + 1e-9))
+        return found.select("query_id", "key").distinct()
 
     def search(self, queries: DataFrame, threshold: float = 0.3) -> DataFrame:
         """(query_id, title, listings, similarity) of all titles of at least that similarity."""
         texts = queries.filter("text is not null").select("query_id", title_trigrams(F.col("text")).alias("wanted"))
-        found = self.candidates(queries, threshold).join(self.spark.read.parquet(f"{self.path}/titles"), "key").join(texts, "query_id")
+        found = self.candidates(queries, threshold).join(self._table("titles"), "key").join(texts, "query_id")
         both = F.size(F.array_intersect("grams", "wanted"))
         found = found.withColumn("similarity", both / (F.col("n_grams") + F.size("wanted") - both))
         return found.filter(F.col("similarity") >= threshold).select("query_id", "title", "listings", "similarity")
