@@ -128,17 +128,26 @@ def filter_urls(
     return passed.unionByName(checked)
 
 
-def possible(df: DataFrame, key: Column, keys: DataFrame, bits_per_key: int = 16, max_blocks: int = 1 << 18) -> DataFrame:
-    """``df`` with a column ``possible``: false only where ``key`` (not null) is surely not among ``keys``.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def possible(df: DataFrame, key: Column, keys: DataFrame, bits_per_key: int = 16, max_blocks: int = 1 << 18, made: str = "possible") -> DataFrame:
+    """``df`` with a column ``made``: false only where ``key`` (not null) is surely not among ``keys``.
 
     ``keys`` has one column and should be a written table; the broadcast filter is bounded as in
-    ``filter_urls``.
+    ``filter_urls``. The row's own columns are set aside while it meets the filter, so that they may have
+    any names but ``made``.
     """
     name = keys.columns[0]
     n_blocks = max(1, min(max_blocks, -(-keys.count() * bits_per_key // 256)))
     blocks = F.broadcast(bloom_blocks(keys, name, n_blocks))
-    probed = df.withColumn("_key", key).withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).join(blocks, "block", "left")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"))
+    probed = rows.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).join(blocks, "block", "left")
     may = F.lit(True)
     for i, bit in enumerate(bits_of(F.col("_key"))):
         may = may & (F.col(f"w{i}").bitwiseAND(bit) == bit)
-    return probed.select(*[F.col(c) for c in df.columns], F.coalesce(may, F.lit(False)).alias("possible"))
+    return probed.select("_row.*", F.coalesce(may, F.lit(False)).alias(made))

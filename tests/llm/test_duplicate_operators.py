@@ -303,6 +303,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["tokens"])
 
 
+def test_stage_keeps_texts_of_one_id_and_columns_of_any_name(spark):
+    rnd = random.Random(14)
+    texts = [prose(rnd, 60) for _ in range(6)]
+    rows = [(3, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[2]), (5, texts[3]), (6, texts[3]), (7, texts[4]), (None, texts[5]), (8, None), (8, "")]
+    df = docs(spark, rows)
+    for name in ("block", "w0", "w7", "possible", "_key", "_row", "_possible"):
+        df = df.withColumn(name, F.lit(777777))
+    got = corpus_pipeline.one_of_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    found = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(set(rows) - {(6, texts[3])}, key=str)
+    assert {r[n] for r in found for n in ("block", "w0", "w7", "possible", "_key", "_row", "_possible")} == {777777}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
