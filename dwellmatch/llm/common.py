@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -52,6 +54,19 @@ def worker_store(name: str) -> dict:
     return module.store
 
 
+def release_memory() -> None:
+    """Gives back what earlier stages left in this worker; workers are used again from stage to stage."""
+    module = sys.modules.get("_llm_worker_store")
+    if module is not None:
+        module.owner, module.store = None, {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Rows that are Python objects at a time; an Arrow batch may have ten times as many.
 ROWS_AT_A_TIME = 500
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from dwellmatch.llm.common import Shelf, mix64, slices
+from dwellmatch.llm.common import Shelf, mix64, release_memory, slices
 from dwellmatch.llm.suffix_groups import suffix_array
 from dwellmatch.llm.url_filter import possible
 
@@ -167,6 +167,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         rolling, chosen = RollingHash(1), RollingHash(2)
         for batch in slices(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
@@ -193,6 +194,7 @@ def _step_rows(docs: DataFrame, length: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in slices(batches):
             cols: dict[str, list] = {f.name: [] for f in schema}
             for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -246,6 +248,7 @@ def _masks(strings: DataFrame) -> DataFrame:
             yield rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         body: list[tuple] = []
         single: list[tuple] = []
         size = 0
@@ -389,6 +392,7 @@ def remove_passages(docs: DataFrame, words: int = 51, id_col: str = "doc_id", te
     arrow = to_arrow_schema(places)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in slices(batches):
             out: list[tuple] = []
             for k, (text, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -413,6 +417,7 @@ def remove_passages(docs: DataFrame, words: int = 51, id_col: str = "doc_id", te
     result = to_arrow_schema(schema)
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in slices(batches):
             removed, kept = [], []
             for text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -455,6 +460,7 @@ def _cut_rows(docs: DataFrame, id_col: str, length: int, with_text: bool, with_s
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in slices(batches):
             cols: list[list] = [[] for _ in fields]
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
