@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -334,10 +336,15 @@ class TitleIndex:
         postings = grams.join(self._table("counts"), "gram").select("gram", "n_grams", F.row_number().over(rarest).alias("place"), "key", *signature)
         postings.repartitionByRange("gram", "n_grams").sortWithinPartitions("gram", "n_grams").write.parquet(f"{self.path}/postings")
 
+    def _signed(self, queries: DataFrame) -> DataFrame:
+        """Trigrams and bits of the queries as a table: bits are folded over stored trigrams, once."""
+        root = f"{self.path}/queries-{uuid.uuid4().hex}"
+        queries.filter("text is not null").select("query_id", title_trigrams(F.col("text")).alias("grams")).write.parquet(root)
+        return self.spark.read.parquet(root).select("*", *[c.alias(f"q{k}") for k, c in enumerate(_signature("grams"))])
+
     def candidates(self, queries: DataFrame, threshold: float) -> DataFrame:
         """(query_id, key) of the titles that may be similar enough; ``queries``: query_id, text."""
-        wanted = queries.select("query_id", title_trigrams(F.col("text")).alias("grams"))
-        signed = wanted.select("*", *[c.alias(f"q{k}") for k, c in enumerate(_signature("grams"))])
+        signed = self._signed(queries)
         grams = signed.select("query_id", F.explode("grams").alias("gram"), F.size("grams").alias("n"), *[f"q{k}" for k in range(WORDS)])
         # Trigrams of no title come first: they take places that nothing is shared at.
         rarest = Window.partitionBy("query_id").orderBy(F.coalesce("titles", F.lit(0)), "gram")
