@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -23,6 +24,7 @@ BREAKS = frozenset("address article aside blockquote body br dd div dl dt fields
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
 _ENDS = {name: re.compile(f"</{name}", re.IGNORECASE) for name in HIDDEN}
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
@@ -96,12 +98,94 @@ def read_http(block: bytes | None) -> tuple[str | None, list[tuple[str, str]], b
     return status, headers, payload
 
 
-def _decoded(payload: bytes, content_type: str) -> str:
+def _unchunked(data: bytes) -> tuple[bytes, str | None]:
+    """(body, fault) of a chunked transfer; a fault leaves the chunks before it."""
+    parts: list[bytes] = []
+    at = 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = data[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(parts), "broken chunk"
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts), None
+        parts.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n
+        if len(parts[-1]) < n or data[at : at + 2] != b"\r\n":
+            return b"".join(parts), "broken chunk"
+        at += 2
+
+
+def _inflated(data: bytes, window: int) -> tuple[bytes, str | None]:
+    """(body, fault) of compressed members one after the other; what follows the last one is padding."""
+    parts: list[bytes] = []
+    while data:
+        member = zlib.decompressobj(window)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(parts), "broken data" if not parts else None
+        if not member.eof:
+            return b"".join(parts), "data end early"
+        data = member.unused_data
+    return b"".join(parts), None
+
+
+def _deflated(data: bytes) -> tuple[bytes, str | None]:
+    """Servers send deflate with or without the zlib head."""
+    with_head = _inflated(data, zlib.MAX_WBITS)
+    return _inflated(data, -zlib.MAX_WBITS) if with_head[1] == "broken data" else with_head
+
+
+# Names of the codings that can be undone.
+_UNDO = {
+    "chunked": _unchunked,
+    "gzip": lambda data: _inflated(data, zlib.MAX_WBITS | 16),
+    "x-gzip": lambda data: _inflated(data, zlib.MAX_WBITS | 16),
+    "deflate": _deflated,
+    "identity": lambda data: (data, None),
+}
+
+
+def body_of(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes | None, str | None]:
+    """(body, fault) once transfer codings, then content codings are undone, the last one named first.
+
+    A fault in the middle leaves the body before it; where nothing can be undone the body is null.
+    Payloads that a crawler stored decoded under their old headers start with no chunk size or no
+    magic number, and are the body as they stand.
+    """
+    body, fault = payload, None
+    for header in ("transfer-encoding", "content-encoding"):
+        names = [n.strip().lower() for k, v in headers if k == header for n in v.split(",")]
+        for name in reversed([n for n in names if n]):
+            if name not in _UNDO:
+                return None, f"{header} {_safe(name)}"
+            if not body or (name == "chunked" and not re.match(rb"[0-9A-Fa-f]{1,15}\s*(;[^\r\n]*)?\r\n", body)) or (name.endswith("gzip") and body[:2] != b"\x1f\x8b"):
+                continue
+            body, broken = _UNDO[name](body)
+            if broken:
+                fault = f"{header} {name}: {broken}"
+                if not body:
+                    return None, fault
+    return body, fault
+
+
+def _decoded(body: bytes, content_type: str, is_html: bool) -> str:
+    """Text by byte order mark, charset of the header, charset of a meta element (which HTML wants
+    within the first 1024 bytes), else UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
     charset = _CHARSET.search(content_type)
+    meta = _META.search(body, 0, 1024) if is_html and not charset else None
+    name = charset[1] if charset else meta[1].decode("ascii") if meta else "utf-8"
+    if meta and name.lower().startswith("utf-16"):
+        name = "utf-8"  # the element could be read, so this it is not
     try:
-        return payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        return body.decode(name, "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
 
 
 def _safe(value: str) -> str:
@@ -134,19 +218,27 @@ def derive(record: str | None, uri: str | None, date: str | None, block: bytes |
     content_type = next((v for k, v in headers if k == "content-type"), None)
     kind = ("text/html" if content_type is None else content_type).split(";")[0].strip().lower()
     own, text_id = record_id(source["record_id"], "metadata"), record_id(source["record_id"], "conversion")
-    fields = [("source-status", status or ""), *((f"source-{k}", v) for k, v in headers), ("source-block-digest", source["block_digest"]), ("source-payload-digest", source["payload_digest"])]
+    own_digests = [("source-block-digest", source["block_digest"]), ("source-payload-digest", source["payload_digest"])]
+    fields = [("source-status", status or ""), *own_digests]
     out = []
     if kind in ("text/html", "application/xhtml+xml", "text/plain"):
-        body = _decoded(payload, content_type or "")
-        text, title, hrefs = (body, None, []) if kind == "text/plain" else plain_text(body)
-        out.append(_record("conversion", text_id, source, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Concurrent-To", own), ("WARC-Source-Payload-Digest", source["payload_digest"])]))
-        fields += [("title", title or "")]
-        for href in hrefs:
-            try:
-                fields.append(("outlink", urljoin(source["uri"], href)))
-            except ValueError:
-                fields.append(("outlink", href))
-    block = "".join(f"{k}: {_safe(v)}\r\n" for k, v in fields if v).encode("utf-8", "replace")
+        raw, fault = body_of(headers, payload)
+        fields.append(("body-fault", fault or ""))
+        if raw is not None:
+            body = _decoded(raw, content_type or "", kind != "text/plain")
+            text, title, hrefs = (body, None, []) if kind == "text/plain" else plain_text(body)
+            out.append(_record("conversion", text_id, source, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Concurrent-To", own), ("WARC-Source-Payload-Digest", source["payload_digest"])]))
+            fields.append(("title", title or ""))
+            for href in hrefs:
+                try:
+                    fields.append(("outlink", urljoin(source["uri"], href)))
+                except ValueError:
+                    fields.append(("outlink", href))
+    # A header of the source stays even if it has no value.
+    lines = [(k, v) for k, v in fields if v]
+    at = 1 if status else 0
+    lines[at:at] = [(f"source-{_safe(k)}", v) for k, v in headers]
+    block = "".join(f"{k}: {_safe(v)}\r\n" for k, v in lines).encode("utf-8", "replace")
     concurrent = [("WARC-Concurrent-To", text_id)] if out else []
     return [_record("metadata", own, source, "application/warc-fields", block, [*concurrent, ("WARC-Source-Payload-Digest", source["payload_digest"])]), *out]
 
@@ -174,6 +266,11 @@ def derivatives(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     both refer to the response and to each other. Identifiers follow from the source's, so a task
     that runs again makes the same records. One pass without a shuffle.
 
+    Chunked transfers, gzip and deflate are undone before the text is read; digests are those of the
+    bytes as they stand in the source. A body whose coding is unknown (or broken from its start) has
+    no conversion record, one that breaks off has the text before the break; both are named in the
+    field ``body-fault`` of the metadata. Source headers keep their order, repeats and empty values.
+
     A response without an HTTP head is taken as the payload itself; a null block is an empty one; a
     null record id is replaced by one made from uri and digest. Repeated rows each get their
     records; other columns are not looked at; an empty table gives no rows.

@@ -1,9 +1,13 @@
 """Licence scan, language, BPE, token files and page operators against brute force."""
 
+import base64
+import gzip
 import hashlib
+import html.parser
 import random
 import re
 import zlib
+from urllib.parse import urljoin
 
 import public_tokenizers
 import pytest
@@ -154,8 +158,9 @@ def test_token_files_give_back_what_the_library_says(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    rows = [(k, t) for k, t in enumerate(_texts(4, 60))] + [(900, None), (901, ""), (901, ""), (None, "no id")]
+    added = ["ab <|endoftext|> c", "<|endoftext|><|endoftext|>", "a<|endoftext|> b" * 40, "<|endoftext|", " <|endoftext|>\n\n x's"]
+    assert 50256 in tokenizer.encode(added[0], add_special_tokens=False).ids
+    rows = [(k, t) for k, t in enumerate(_texts(4, 60) + added)] + [(900, None), (901, ""), (901, ""), (None, "no id")]
     got = token_coder.round_trip(docs(spark, rows), JSON, public_tokenizers.PATTERN).orderBy("start").collect()
     at = 0
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -256,3 +261,104 @@ def test_repeated_and_folded_source_headers():
     assert [m["warc_type"] for m in made] == ["metadata", "conversion"]
     fields = [x for x in made[0]["block"].decode().split("\r\n") if x.startswith("source-")]
     assert fields[1:6] == ["source-set-cookie: a=1", "source-content-type: text/plain", "source-via: x, y", "source-set-cookie: b=2", "source-content-type: image/png"]
+
+
+def _response(body: bytes, *headers: str) -> bytes:
+    return "\r\n".join(["HTTP/1.1 200 OK", *headers, "", ""]).encode("latin-1") + body
+
+
+def _made(block: bytes):
+    made = warc_derive.derive("r", "http://h/", "d", block)
+    fault = [x[12:] for x in made[0]["block"].decode().split("\r\n") if x.startswith("body-fault: ")]
+    assert made[0]["source_payload_digest"] == warc_derive.digest(block.partition(b"\r\n\r\n")[2])
+    return (made[1]["block"].decode() if len(made) > 1 else None), (fault or [None])[0]
+
+
+def test_codings_of_bodies_are_undone():
+    page = ("<p>Grüß " + "x y " * 3000 + "</p>").encode()
+    text = warc_derive.plain_text(page.decode())[0]
+    zipped, chunk = gzip.compress(page), lambda d: b"".join(b"%x;a=b\r\n%s\r\n" % (len(d[k : k + 700]), d[k : k + 700]) for k in range(0, len(d), 700)) + b"0\r\nX: y\r\n\r\n"
+    html, gz, ch = "Content-Type: text/html", "Content-Encoding: GZIP", "Transfer-Encoding: chunked"
+    raw = zlib.compressobj(wbits=-15)
+    bare = raw.compress(page) + raw.flush()
+    for body, heads in [
+        (page, [html]), (zipped, [html, gz]), (chunk(page), [html, ch]), (chunk(zipped), [html, gz, ch]), (zlib.compress(page), [html, "Content-Encoding: deflate"]), (bare, [html, "Content-Encoding: deflate"]),
+        (gzip.compress(page[:50]) + gzip.compress(page[50:]) + b"\0\0", [html, gz]), (gzip.compress(zipped), [html, "Content-Encoding: gzip, x-gzip"]), (page, [html, gz, ch]), (page, [html, "Content-Encoding: identity"]),
+    ]:
+        assert _made(_response(body, *heads)) == (text, None)
+    assert _made(_response(zipped, html, "Content-Encoding: br")) == (None, "content-encoding br")
+    assert _made(_response(b"\x1f\x8bnothing", html, gz)) == (None, "content-encoding gzip: broken data")
+    cut, fault = _made(_response(zipped[:-20], html, gz))
+    assert text.startswith(cut) and fault == "content-encoding gzip: data end early"
+    cut, fault = _made(_response(chunk(page)[:1000], html, ch))
+    assert text.startswith(cut) and len(cut) > 600 and fault == "transfer-encoding chunked: broken chunk"
+    assert _made(_response(b"", html, gz, ch)) == ("", None)
+
+
+def test_charsets_of_bodies():
+    html = "Content-Type: text/html"
+    for body, head in [
+        ("<meta charset='iso-8859-1'>café".encode("latin-1"), html), ('<meta http-equiv=x content="text/html; charset=windows-1252">café'.encode("cp1252"), html), ("café".encode("latin-1"), html + "; charset=latin1"),
+        ("<meta charset=latin1>café".encode(), html + "; charset=utf-8"), ("<meta charset=none-such>café".encode(), html), ("<meta charset=utf-16>café".encode(), html), ("\ufeffcafé".encode(), html), ("\ufeffcafé".encode("utf-16-le"), html),
+        ("café".encode(), html + "; charset=hex"),
+    ]:
+        assert _made(_response(body, head)) == ("café", None)
+
+
+def test_source_headers_without_value_stay():
+    block = warc_derive.derive("r", "u", "d", _response(b"x", "X-Empty:", "Content-Type: text/plain", "X-Empty: ", "no colon"))[0]["block"].decode().split("\r\n")
+    assert block[:5] == ["source-status: HTTP/1.1 200 OK", "source-x-empty: ", "source-content-type: text/plain", "source-x-empty: ", "source-no colon: "]
+    long = warc_derive.derive(None, None, None, _response(b"x", "Content-Type: text/plain", "Y: " + "z" * 200_000))
+    assert f"source-y: {'z' * 200_000}\r\n".encode() in long[0]["block"] and long[1]["block"] == b"x"
+
+
+class _Reader(html.parser.HTMLParser):
+    """Text by another parser, for the brute-force comparison."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.title, self.inside = [], [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc_derive.BREAKS:
+            self.parts.append("\n")
+        if tag in warc_derive.HIDDEN:
+            self.inside.append(tag)
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        if tag in warc_derive.BREAKS:
+            self.parts.append("\n")
+        if self.inside and self.inside[-1] == tag:
+            self.inside.pop()
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.parts.append(data)
+        elif self.inside[-1] == "title" and self.title is None:
+            self.title = " ".join(data.split())
+
+
+def test_derivatives_of_all_pages_equal_another_reader(spark, sf):
+    from dwellmatch.llm import queries
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()}
+    got = queries.queries()["op1_warc_derive"](spark, sf).collect()
+    assert len(got) == 2 * len(pages) and len({r.record_id for r in got}) == len(got)
+    ids = {(r.page_id, r.warc_type): r.record_id for r in got}
+    for r in got:
+        reader = _Reader()
+        reader.feed(pages[r.page_id].html or "")
+        reader.close()
+        body = (pages[r.page_id].html or "").encode()
+        assert r.source_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        other = ids[(r.page_id, "metadata" if r.warc_type == "conversion" else "conversion")]
+        assert f"WARC-Concurrent-To: {other}\r\n" in r.header and f"WARC-Refers-To: {r.refers_to}\r\n" in r.header
+        if r.warc_type == "conversion":
+            lines = (" ".join(x.split()) for x in "".join(reader.parts).split("\n"))
+            assert bytes(r.block).decode() == "\n".join(x for x in lines if x)
+        else:
+            fields = bytes(r.block).decode().split("\r\n")
+            assert [x[9:] for x in fields if x.startswith("outlink: ")] == [urljoin(pages[r.page_id].url or "", x) for x in reader.links]
+            assert [x[7:] for x in fields if x.startswith("title: ")] == ([reader.title] if reader.title else [])
