@@ -152,8 +152,8 @@ def origin_name(c: Column) -> Column:
     return clean_text(regex_first(c, r"Quelle:\s*([\p{L}\p{N} ._-]+)"))
 
 
-def rental_type(c: Column) -> Column:
-    """sublet before shared room before apartment, else unknown."""
+def rental_kinds(c: Column) -> dict[str, Column]:
+    """Which kinds a text speaks of; several may hold."""
     t = F.coalesce(c, F.lit(""))
     # The words of each kind.
     sublet = t.rlike("(?iu)zwischenmiete|untermiete|befristet|sublet")
@@ -161,4 +161,10 @@ def rental_type(c: Column) -> Column:
         ascii_edges(r"(?iu)\bwg\b(?!-gesucht)")
     )
     flat = t.rlike("(?iu)wohnung|wohnungen|apartment|appartement")
-    return F.when(sublet, "sublet").when(shared, "wg_room").when(flat, "apartment").otherwise("unknown")
+    return {"sublet": sublet, "wg": shared, "apartment": flat}
+
+
+def rental_type(c: Column) -> Column:
+    """sublet before shared room before apartment, else unknown."""
+    kinds = rental_kinds(c)
+    return F.when(kinds["sublet"], "sublet").when(kinds["wg"], "wg_room").when(kinds["apartment"], "apartment").otherwise("unknown")

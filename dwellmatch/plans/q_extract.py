@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from dwellmatch.functions.keys import canonical_json
 from dwellmatch.functions.numbers import js_num
+from dwellmatch.functions.render import escape_html
 from dwellmatch.plans import adapter as A
 from dwellmatch.plans import frames as fr
 from dwellmatch.plans.registry import query
@@ -338,7 +339,7 @@ def _structured_pages(spark: SparkSession, d: str) -> DataFrame:
 )
 def structured_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = jsonld.with_objects(_structured_pages(spark, d))
-    parsed = pages.parse_pages(rows, keep=("objects",))
+    parsed = pages.parse_pages(rows, keep=("objects",), scopes=details.AGGREGATOR_SCOPES)
     out = mapping.to_canonical(details.aggregator_rows(parsed, BASE), "aggregator")
     return out.select(
         "external_id", "url", "title", "price", "area", "rooms", "city", "postal_code", F.size("images").alias("images"),
@@ -410,7 +411,7 @@ def landlord_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = fr.live(spark, d).withColumn("html", html).select(
         F.xxhash64("listing_id").alias("page_id"), F.lit(f"{BASE}/x").alias("url"), "html"
     )
-    parsed = pages.parse_pages(rows, keep=("html",))
+    parsed = pages.parse_pages(rows, keep=("html",), scopes=details.LANDLORD_SCOPES)
     out = mapping.to_canonical(details.landlord_rows(parsed, BASE), "landlord")
     return out.select(
         "external_id", "price", "warm_rent", "area", "rooms", "city", "postal_code", F.element_at("attributes", F.lit("availability")).alias("availability")
@@ -454,11 +455,87 @@ def exchange_details(spark: SparkSession, d: str) -> DataFrame:
     rows = fr.live(spark, d).withColumn("html", html).select(
         F.xxhash64("listing_id").alias("page_id"), F.concat(F.lit(f"{BASE}/immodetail/"), number, F.lit("/?x=1")).alias("url"), "html", _adid().alias("_adid")
     )
-    found = details.exchange_details(pages.parse_pages(rows), BASE).join(rows.select("page_id", "_adid"), "page_id")
+    found = details.exchange_details(pages.parse_pages(rows, scopes=details.EXCHANGE_SCOPES), BASE).join(rows.select("page_id", "_adid"), "page_id")
     out = mapping.to_canonical(details.usable(found, ["adid"]).withColumn("adid", F.col("_adid")), "exchange")
     return out.select("external_id", "price", "area", "rooms", "warm_rent", "title", canonical_json(F.col("attributes")).alias("attributes"))
 
 
+@query(
+    "b11_exchange_addresses",
+    "SELECT external_id, zip AS postal_code, CASE kind WHEN 0 THEN city WHEN 1 THEN city ELSE 'Nowhere' END AS city, street, CASE WHEN kind = 0 THEN 'Mitte' END AS district, "
+    "CASE kind WHEN 0 THEN concat(street, ', ', zip, ' ', city, ', Mitte') WHEN 1 THEN concat(zip, ' ', city) ELSE 'Nowhere' END AS address FROM ("
+    "SELECT split_part(external_id, '-', 1) || '0' || split_part(external_id, '-', 2) AS external_id, city, s3 % 3 AS kind, CASE WHEN s3 % 3 < 2 THEN postal_code END AS zip, "
+    "CASE WHEN s3 % 3 = 0 THEN concat('Weg ', split_part(external_id, '-', 1)) END AS street FROM live)",
+)
+def exchange_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Address lines of detail pages: street, code and place with district; code and place; none."""
+    kind = F.col("s3") % 3
+    number = F.concat(F.split("external_id", "-")[0], F.lit("0"), F.split("external_id", "-")[1])
+    lines = F.when(
+        kind == 0, F.concat(F.lit("<div>\n  Weg "), F.split("external_id", "-")[0], F.lit("\n\n <span>"), "postal_code", F.lit("</span>  "), "city", F.lit(" , Mitte\n</div>"))
+    ).when(kind == 1, F.concat(F.lit("<div><div>"), "postal_code", F.lit(" "), "city", F.lit("</div></div>"))).otherwise("<div>no code 123456</div>")
+    html = F.concat(
+        F.lit('<html><head><link rel="canonical" href="/immodetail/'), number,
+        F.lit('"></head><body><h2>x</h2><div>11111 Outside</div><div itemscope itemtype="https://schema.org/Apartment"><h1>A</h1><div>22222 Before</div><h2>B</h2><p>open<div>no code</div>'),
+        lines, F.lit("<div>33333 Later</div></div><div>44444 Outside</div></body></html>"),
+    )
+    html = F.when(kind == 2, F.replace(html, F.lit("<div>33333 Later</div>"), F.lit(""))).otherwise(html)
+    rows = fr.live(spark, d).select(F.xxhash64("listing_id").alias("page_id"), F.lit(f"{BASE}/x").alias("url"), html.alias("html"))
+    found = details.exchange_details(pages.parse_pages(rows, scopes=details.EXCHANGE_SCOPES), BASE, "Nowhere")
+    out = mapping.to_canonical(found, "exchange")
+    attr = lambda n: F.get_json_object(F.element_at("attributes", F.lit(n)), "$")
+    return out.select("external_id", "postal_code", "city", *[attr(n).alias(n) for n in ("street", "district", "address")])
+
+
+@query(
+    "b9_landlord_images",
+    f"SELECT {_ADID} AS external_id, 2 + s3 % 2 AS images, concat('https://portal.example/a/', {_ADID}, '.jpg') AS first_image, CASE WHEN s3 % 2 = 1 THEN 'https://c.example/z.png?x=1' ELSE concat('https://portal.example/b/', {_ADID}) END AS last_image, 1 + s3 % 2 AS last_position FROM live",
+)
+def landlord_images(spark: SparkSession, d: str) -> DataFrame:
+    """Links and pictures of the galleries, each once, in the order of the page."""
+    html = F.concat(
+        F.lit('<html><head><link rel="canonical" href="/immobilien/detail/'), _adid(), F.lit('"></head><body><img src="/logo.png"><a href="/no">n</a><div class="x sge-gallery"><a href="/a/'), _adid(),
+        F.lit('.jpg"><img src="b/'), _adid(), F.lit('"></a><div class="sge-gallery"><img src=" /a/'), _adid(), F.lit('.jpg"></div></div>'),
+        F.when(F.col("s3") % 2 == 1, "<ul class=sge-gallery><img alt=none><a href='https://c.example/z.png?x=1'>z</a></ul>").otherwise("<ul class=sge-gallery-2><img src='/no'></ul>"),
+        F.lit('<img src="/foot.png"></body></html>'),
+    )
+    rows = fr.live(spark, d).select(F.xxhash64("listing_id").alias("page_id"), F.lit(f"{BASE}/x").alias("url"), html.alias("html"))
+    parsed = pages.parse_pages(rows, keep=("html",), scopes=details.LANDLORD_SCOPES)
+    out = mapping.to_canonical(details.landlord_rows(parsed, BASE), "landlord")
+    last = F.element_at("images", -1)
+    return out.select("external_id", F.size("images").alias("images"), F.get("images", F.lit(0))["url"].alias("first_image"), last["url"].alias("last_image"), last["position"].alias("last_position"))
+
+
+_FLAT_TEXT = "concat('Offer ', coalesce(text, ''), CASE doc_id % 4 WHEN 0 THEN ' Wohnung, befristet' WHEN 1 THEN ' WG, Apartment' WHEN 2 THEN ' wg-gesucht' ELSE '' END)"
+_FLAT_KINDS = {"sublet": "(?i)zwischenmiete|untermiete|befristet|sublet", "wg": "(?i)wg-zimmer|wohngemeinschaft|zimmer\\s+in\\s+(einer\\s+)?wg|\\bwg([^a-z0-9_-]|$)", "apartment": "(?i)wohnung|wohnungen|apartment|appartement"}
+
+
+@query(
+    "a9_shared_flats",
+    "SELECT external_id, sublet, wg, apartment, CASE WHEN sublet IS NOT NULL THEN 'sublet' WHEN wg IS NOT NULL THEN 'wg_room' WHEN apartment IS NOT NULL THEN 'apartment' END AS rent_type, balcony, images, image FROM (SELECT cast(doc_id as varchar) AS external_id, "
+    + ", ".join(f"CASE WHEN regexp_matches({_FLAT_TEXT}, '{p}') THEN 'true' END AS {n}" for n, p in _FLAT_KINDS.items())
+    + f", CASE WHEN regexp_matches({_FLAT_TEXT}, '(?i)balkon') THEN 'true' END AS balcony, 2 AS images, concat('https://portal.example/i/', doc_id) AS image FROM documents)",
+)
+def shared_flats(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds a text speaks of, several at once, beside the one that decides; images of the offers."""
+    k = F.col("doc_id") % 4
+    tail = F.when(k == 0, " Wohnung, befristet").when(k == 1, " WG, Apartment").when(k == 2, " wg-gesucht").otherwise("")
+    ident = F.col("doc_id").cast("string")
+    listing = F.struct(
+        F.lit("RealEstateListing").alias("@type"), ident.alias("identifier"), F.concat(F.lit("/"), ident, F.lit(".html")).alias("url"), F.lit("Offer").alias("name"),
+        F.concat(F.coalesce("text", F.lit("")), tail).alias("description"), F.lit("300").alias("price"),
+        F.array(F.concat(F.lit("/i/"), ident), F.lit("https://c.example/2")).alias("image"),
+    )
+    block = F.replace(F.to_json(listing), F.lit("<"), F.lit("\\u003c"))
+    html = F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['), block, F.lit("]}</script>"))
+    found = jsonld.with_objects(read_table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html")))
+    out = mapping.to_canonical(details.shared_flat_rows(found, BASE), "shared_flats")
+    attr = lambda n: F.get_json_object(F.element_at("attributes", F.lit(n)), "$")
+    return out.select(
+        "external_id", *[attr(n).alias(n) for n in ("sublet", "wg", "apartment", "rent_type", "balcony")], F.size("images").alias("images"), F.get("images", F.lit(0))["url"].alias("image")
+    )
+
+
 @query("b12_wanted_rows", "SELECT listing_id, rooms FROM live WHERE lower(city) = 'nation_7' AND rooms BETWEEN 2 AND 4")
 def wanted_rows(spark: SparkSession, d: str) -> DataFrame:
     return details.wanted(fr.live(spark, d), "nation_7", 2, 4).select("listing_id", "rooms")
@@ -474,6 +551,46 @@ def sale_pages(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", details.is_sale(F.concat("text", tail)).alias("sale"))
 
 
+_SALE_TEXT = "concat(coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' Kaufpreis 1' WHEN 1 THEN ' Kaufpreisinfo' ELSE '' END)"
+
+
+def _offer_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregator pages of the documents: the text stands in one of three marked elements, or in none of them."""
+    tail = F.when(F.col("doc_id") % 3 == 0, " Kaufpreis 1").when(F.col("doc_id") % 3 == 1, " Kaufpreisinfo").otherwise("")
+    text = escape_html(F.concat(F.coalesce("text", F.lit("")), tail))
+    k = F.col("doc_id") % 4
+    before = (
+        F.when(k == 0, "<p>open<article id=x><div><p>one</div><br>").when(k == 1, "<section data-testid='expose'><script>kaufen</script>")
+        .when(k == 2, "<main><div class='a big-listing-box'>").otherwise("<div class='listing'>")
+    )
+    after = F.when(k == 0, "</article>").when(k == 1, "</section>").when(k == 2, "</div></main>").otherwise("</div>")
+    ident = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit('<html><head><title>kaufen</title><link rel="canonical" href="/expose/'), ident, F.lit('/"></head><body><nav>Gewerbe, <a href="/kaufen">kaufen</a></nav>'),
+        before, text, after, F.lit("<article>Hotel</article><p>Quelle: Muster <a rel='x nofollow' href='http://Q.example/"), ident, F.lit("/?utm_x=1&amp;k=2#z'>q</a></p></body></html>"),
+    )
+    return read_table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit(f"{BASE}/x").alias("url"), html.alias("html"))
+
+
+@query(
+    "b13_sale_bodies",
+    f"SELECT cast(doc_id as varchar) AS external_id, concat('http://q.example/', doc_id, '?k=2') AS original_url, 'true' AS aggregator, 'elevated' AS dedupe_risk, "
+    f"CASE WHEN regexp_matches({_SALE_TEXT}, '(?i)keller') THEN 'true' END AS cellar FROM documents "
+    # The last kind has no marked element but the later article, which tells of a hotel.
+    f"WHERE doc_id % 4 <> 3 AND NOT regexp_matches({_SALE_TEXT}, '(?i)\\b(kaufpreis|kaufen|eigentumswohnung|gewerbe|büro|buero|laden|hotel)\\b')",
+)
+def sale_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Sale pages known by the text of the offer alone, whatever stands around it."""
+    rows = jsonld.with_objects(_offer_pages(spark, d))
+    parsed = pages.parse_pages(rows, keep=("objects",), scopes=details.AGGREGATOR_SCOPES)
+    out = mapping.to_canonical(details.aggregator_rows(parsed, BASE, dedupe_risk="elevated"), "aggregator")
+    attr = lambda n: F.element_at("attributes", F.lit(n))
+    return out.select(
+        "external_id", F.get_json_object(attr("original_url"), "$").alias("original_url"), attr("aggregator").alias("aggregator"),
+        F.get_json_object(attr("dedupe_risk"), "$").alias("dedupe_risk"), attr("cellar").alias("cellar"),
+    )
+
+
 @query(
     "b14_parking_pages",
     "SELECT doc_id, doc_id % 4 IN (0, 2) AS parking FROM documents",
