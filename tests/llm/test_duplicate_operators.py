@@ -270,6 +270,67 @@ def test_latent_candidates_reach_brute_force(spark):
     assert np.abs(near - exact @ exact.T).max() < 1e-3
 
 
+def _heaviest(item, region, weights):
+    """Common subsequence by the plain table, for comparison."""
+    table = [[0.0] * (len(region) + 1) for _ in range(len(item) + 1)]
+    for i, x in enumerate(item):
+        for j, y in enumerate(region):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (weights[x] if x == y else 0))
+    return table[-1][-1] / sum(weights[x] for x in item)
+
+
+def test_alignment_within_spans_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        weights = rng.random(9) + 0.1
+        item, region = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(-1, 9, rng.integers(0, 60))
+        starts, windows = latent_decontam.windows_of(region, 2 * len(item), max(1, len(item) // 2))
+        got = latent_decontam.alignments(item, windows, weights)
+        assert windows.shape == (len(starts), 2 * len(item))
+        for at, share in zip(starts, got):
+            assert share == pytest.approx(_heaviest(item, [t for t in region[at : at + 2 * len(item)]], weights))
+        span = len(item) + len(item) // 2
+        least = max((_heaviest(item, region[at : at + span], weights) for at in range(max(1, len(region) - span + 1))), default=0)
+        assert least - 1e-9 <= got.max() <= _heaviest(item, region, weights) + 1e-9
+        found = list(latent_decontam.copies(item, item[-1:], region, weights))
+        assert all(0 <= share <= got.max() + 1e-9 or share <= 1 for share, _, _ in found)
+        twice = np.concatenate([item, item, item])
+        assert max(share for share, rest, _ in latent_decontam.copies(item, item[-1:], twice, weights) if rest == 1) >= 0.5
+
+
+def test_strewn_words_of_an_item_are_no_copy(spark):
+    rnd = random.Random(21)
+    items = [(k, prose(rnd, 40)) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for k, text in items:
+        for n, times in enumerate((10, 20, 40, 80)):
+            words = [w for _ in range(times) for w in rnd.sample(text.split(), 40)]
+            rows.append((1000 + 10 * k + n, " ".join(words)))
+        rows.append((2000 + k, prose(rnd, 200) + " " + text + " " + prose(rnd, 200)))
+        rows.append((3000 + k, " ".join(w + " of the" * 2 if j % 10 == 0 else w for j, w in enumerate(text.split()))))
+    rows += [(5000 + k, prose(rnd, 60)) for k in range(200)]
+    got = latent_decontam.contaminated(docs(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(2000 + k, k) for k in range(20)] + [(3000 + k, k) for k in range(20)])
+    assert all(0.35 <= r.cosine <= 1 for r in got)
+
+
+def test_cosine_of_repeated_words_is_exact(spark):
+    text = "alpha beta beta beta gamma gamma delta epsilon"
+    bench = spark.createDataFrame([(1, text), (2, "zeta eta theta iota kappa")], "item_id long, text string")
+    rows = [(1, text), (2, "beta " * 40 + text), (3, "lorem ipsum")]
+    weights = {w: np.log((2 + 3) / (1 + n)) for w, n in {"alpha": 2, "beta": 2, "gamma": 2, "delta": 2, "epsilon": 2}.items()}
+
+    def vector(words):
+        return np.array([words.count(w) * weights[w] for w in weights])
+
+    got = {r.doc_id: r.cosine for r in latent_decontam.contaminated(docs(spark, rows), bench).collect()}
+    item = vector(text.split())
+    for k, words in ((1, text.split()), (2, rows[1][1].split())):
+        want = max(vector(words[a : a + 64]) @ item / np.linalg.norm(vector(words[a : a + 64])) / np.linalg.norm(item) for a in range(0, len(words), 32))
+        assert got[k] == pytest.approx(want, abs=1e-3) if want >= 0.35 else k not in got
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(13)
     letters = {"aa": "abcdeé", "bb": "mnopqö"}
