@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from dwellmatch.functions.keys import delivery_key
 from dwellmatch.operators.notify import CHAT_LIMIT, GLOBAL_LIMIT, WINDOW_MS, rate_limit
-from dwellmatch.sources.sinks import append_batch
+from dwellmatch.sources.sinks import VersionedTable, append_batch
 
 
 def first_deliveries(stream: DataFrame) -> DataFrame:
@@ -23,6 +25,43 @@ def first_deliveries_within(stream: DataFrame, time: str, delay: str) -> DataFra
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["subscription_id", "listing_id"])
 
 
+@dataclass
+class StoredDeliveries:
+    """One row per (subscription, listing) for ever, with bounded state: behind
+    ``first_deliveries_within``, which drops the repeats that come soon, the keys of a batch are
+    looked up among the stored ones, of which only the batch's own buckets are read.
+
+    Rows need ``subscription_id``, ``listing_id`` and ``time``; the earliest of a batch wins, equal times by
+    ``order``. Replaying a batch writes the same rows again: it reads the keys of earlier batches only.
+    """
+
+    spark: SparkSession
+    root: str
+    time: str = "at"
+    order: tuple[str, ...] = ()
+    buckets: int = 64
+    compact_every: int = 50
+
+    def __post_init__(self) -> None:
+        self.keys = VersionedTable(self.spark, f"{self.root}/keys", "dedupe_key", self.buckets)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        key = delivery_key(F.col("subscription_id").cast("string"), F.col("listing_id").cast("string"))
+        turn = F.row_number().over(Window.partitionBy("dedupe_key").orderBy(self.time, *self.order))
+        firsts = batch.withColumn("dedupe_key", key).withColumn("_turn", turn).where("_turn = 1").drop("_turn").persist()
+        try:
+            known = self.keys.read(batch_id, self.keys.touched(firsts))
+            fresh = firsts if known is None else firsts.join(known.select("dedupe_key"), "dedupe_key", "left_anti")
+            append_batch(fresh, f"{self.root}/first", batch_id)
+        finally:
+            firsts.unpersist()
+        # The keys follow the rows: after a loss between the two, the batch runs again as a whole.
+        written = self.spark.read.schema(fresh.schema).parquet(f"{self.root}/first/batch_id={batch_id}")
+        self.keys.write(written.select("dedupe_key"), batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self.keys.compact(batch_id)
+
+
 @dataclass
 class LimitedDelivery:
     """Admits attempts under the two windows; refused ones come back in a later batch.

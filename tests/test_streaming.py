@@ -8,7 +8,7 @@ from dwellmatch.plans import frames as fr
 from dwellmatch.sources.registry import filter_definitions
 from dwellmatch.sources.sinks import TableSet, VersionedTable
 from dwellmatch.streaming.alerts import StallWatch, error_windows
-from dwellmatch.streaming.delivery import LimitedDelivery, first_deliveries
+from dwellmatch.streaming.delivery import LimitedDelivery, StoredDeliveries, first_deliveries, first_deliveries_within
 from dwellmatch.streaming.feed import ListingFeed
 
 
@@ -187,3 +187,36 @@ def test_limiter_equals_serial_replay(spark):
             chats[b, chat] = chats.get((b, chat), 0) + 1
             want[i] = (True, None)
     assert got == want
+
+
+def test_repeats_after_the_watermark_are_caught_by_stored_keys(spark, tmp_path):
+    src, sink = str(tmp_path / "in"), StoredDeliveries(spark, str(tmp_path / "out"), buckets=16, compact_every=2)
+    ddl = "subscription_id long, listing_id string, at timestamp"
+    rounds = [
+        [(1, "a", "2024-01-01 00:00:00"), (1, "a", "2024-01-01 00:00:30"), (2, "a", "2024-01-01 00:01:00")],
+        [(1, "b", "2024-01-05 00:00:00"), (2, "a", "2024-01-05 00:00:00")],
+        [(1, "a", "2024-02-01 00:00:00"), (3, None, "2024-02-01 00:00:00"), (3, None, "2024-02-01 00:00:01")],
+        [(1, "a", "2024-03-01 00:00:00"), (1, "b", "2024-03-01 00:00:00"), (9, "z", "2024-03-01 00:00:00")],
+    ]
+    for rows in rounds:
+        one = spark.createDataFrame(rows, "subscription_id long, listing_id string, at string").withColumn("at", F.to_timestamp("at"))
+        one.coalesce(1).write.mode("append").parquet(src)
+        stream = first_deliveries_within(spark.readStream.schema(ddl).parquet(src), "at", "1 hour")
+        run = stream.writeStream.foreachBatch(sink.process).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = [(r[0], r[1], str(r[2])) for r in spark.read.parquet(str(tmp_path / "out/first")).orderBy("at", "subscription_id").select("subscription_id", "listing_id", "at").collect()]
+    assert [g[:2] for g in got] == [(1, "a"), (2, "a"), (1, "b"), (3, None), (9, "z")]
+
+
+def test_stored_keys_are_read_by_bucket_and_replayed(spark, tmp_path):
+    sink = StoredDeliveries(spark, str(tmp_path), buckets=32, compact_every=3)
+    batch = lambda a, b: spark.range(a, b).select(F.col("id").alias("subscription_id"), F.lit("x").alias("listing_id"), F.current_timestamp().alias("at"))
+    for k in range(5):
+        sink.process(batch(0, 20 * (k + 1)), k)
+    sink.process(batch(0, 100), 4)
+    rows = spark.read.parquet(f"{tmp_path}/first")
+    assert rows.count() == rows.select("subscription_id").distinct().count() == 100
+    assert rows.where("batch_id = 4").agg(F.min("subscription_id"), F.max("subscription_id")).first() == (80, 99)
+    one = rows.where("subscription_id = 7")
+    files = sink.keys.read(5, sink.keys.touched(one)).inputFiles()
+    assert files and all(f"bucket={sink.keys.touched(one)[0]}/" in f for f in files)
