@@ -20,6 +20,7 @@ from dwellmatch.functions.keys import json_number, json_string
 from dwellmatch.functions.numbers import js_num
 from dwellmatch.operators.skew import sliced_join
 from dwellmatch.schema import BOOLEAN_ATTRIBUTES, MATCHABLE_STATUSES
+from dwellmatch.session import ensure_checkpoint_dir
 from dwellmatch.sources.registry import bind_definitions
 
 NUMBER_COLUMNS = ["price", "warm_rent", "area", "rooms"]
@@ -262,9 +263,11 @@ def listing_keys(listings: DataFrame, used: set[tuple[str, str | None]]) -> Data
 def crowded_keys(keyed: DataFrame, tasks: int) -> DataFrame:
     """(path, key, slices) of the keys that hold more than one task's share of the rows.
 
-    No more rows than there are tasks, whatever the data, so it can be broadcast.
+    No more rows than there are tasks, whatever the data, so it can be broadcast. The keys are
+    counted once, into a checkpoint.
     """
-    counts = keyed.groupBy("path", "key").agg(F.count("*").alias("n"))
+    ensure_checkpoint_dir(keyed.sparkSession)
+    counts = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).checkpoint()
     total = counts.agg(F.sum("n")).first()[0] or 0
     share = max(1, total // tasks)
     return counts.filter(F.col("n") > share).select("path", "key", F.ceil(F.col("n") / share).cast("int").alias("slices"))
@@ -333,10 +336,14 @@ def inverse_match(
     slices by a count of the listings' keys: a listing falls into one slice, and only the rules
     under such a key are repeated. ``slices`` cuts every key into as many instead. The rule
     side is broadcast only when Spark's own size check allows it.
+
+    The columns that matching reads are checkpointed, since the count and the joins read them:
+    what makes the listings runs once, and the plan keeps its size estimates.
     """
     if "status" in listings.columns:
         listings = listings.filter(F.col("status").isin(MATCHABLE_STATUSES))
-    rules = profile_keys(rule_rows(profiles, filters, definitions))
+    ensure_checkpoint_dir(listings.sparkSession)
+    rules = profile_keys(rule_rows(profiles, filters, definitions).checkpoint())
     fields = match_columns(listings)
     odd = "extra is not null or more_circles is not null"
     # Key kinds in use: at most nine paths and eighteen flags for either group of rules.
@@ -344,11 +351,16 @@ def inverse_match(
     kinds = rules.select("path", flag.alias("flag"), F.expr(odd).alias("odd")).distinct().collect()
     tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def join(part: DataFrame, used: set[tuple[str, str | None]], with_extra: bool) -> DataFrame:
+    used = {odd_ones: {(r["path"], r["flag"]) for r in kinds if r["odd"] == odd_ones} for odd_ones in (False, True)}
+    if slices is None:
+        fields = fields.checkpoint()
+        counted = fields.drop("title", "url", "deal_type", "source_slug", "external_id", "attributes")
+        crowded = F.broadcast(crowded_keys(listing_keys(counted, used[False] | used[True]).select("path", "key"), tasks))
+
+    def join(part: DataFrame, with_extra: bool) -> DataFrame:
         narrow = [c for c in fields.columns if with_extra or c not in ("attributes", *TEXT_COLUMNS) or c in PLACE_COLUMNS]
-        keyed = listing_keys(fields.select(narrow), used)
+        keyed = listing_keys(fields.select(narrow), used[with_extra])
         if slices is None:
-            crowded = F.broadcast(crowded_keys(keyed, tasks))
             keyed, part = (x.join(crowded, ["path", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1))) for x in (keyed, part))
         else:
             keyed, part = (x.withColumn("slices", F.lit(slices)) for x in (keyed, part))
@@ -365,10 +377,9 @@ def inverse_match(
     # generated code; the rare profiles that have them are joined apart.
     parts = []
     for is_odd in (False, True):
-        used = {(r["path"], r["flag"]) for r in kinds if r["odd"] == is_odd}
-        if used:
+        if used[is_odd]:
             some = rules.filter(odd if is_odd else f"not ({odd})")
-            parts.append(join(some if is_odd else some.drop("extra", "more_circles"), used, is_odd))
+            parts.append(join(some if is_odd else some.drop("extra", "more_circles"), is_odd))
     if not parts:
         return rules.select("profile_id", F.lit("").alias("listing_id")).limit(0)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
